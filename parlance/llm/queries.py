@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import bpe, pii, repetition, secrets, simhash, token_counts
+from parlance.llm import bpe, pii, repetition, secrets, simhash, token_counts, toxicity
 from parlance.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_pii, op5_repetition, op6_byte_bpe, op8_secrets, op9_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_pii, op5_repetition, op6_byte_bpe, op8_secrets, op9_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL}
