@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import bpe, pii, repetition, secrets, simhash, token_counts, toxicity
+from parlance.llm import bpe, html_text, neighbours, pii, repetition, secrets, simhash, token_counts, toxicity
 from parlance.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.query(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.query(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_pii, op5_repetition, op6_byte_bpe, op8_secrets, op9_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_html_text, op4_pii, op5_repetition, op6_byte_bpe, op7_neighbours, op8_secrets, op9_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_pii": pii.ORACLE_SQL}
