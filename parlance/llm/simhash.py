@@ -14,6 +14,12 @@ Every pair of fingerprints that differ in at most ``radius`` bits is linked, exa
 * A component needs no more than one link to each part of it. A subtree whose rows already are all in
   the searcher's own part is skipped, and each tree returns a spanning forest: at most one row per
   fingerprint, also for thousands of near copies.
+
+``near_copies`` finds texts by shingle similarity instead of by a given number of bits. At a
+similarity of 0.8 two fingerprints differ in about 15 % of their bits, and no exact cutting into blocks
+reaches so far. It takes fingerprints of 512 bits over distinct shingles, deals them out by samples of
+their bits, as many as a pair at the limit needs to meet with the wanted recall, and searches each
+bucket with the same trees. The share of differing bits estimates the similarity.
 """
 
 from __future__ import annotations
@@ -209,8 +215,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     doc_id and text are not read. An empty table gives an empty result.
     """
     rows = checkpointed(fingerprints(docs, width, seed))
+    return _components(rows, links(rows.select("fp").distinct(), radius))
+
+
+def _components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows(doc_id, text_hash, fp)`` with component_id and keep_hash, from links between values of fp."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(distinct.select("fp"), radius))
+    roots = connected_components(edges)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
@@ -226,13 +237,128 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
 
 
-def deduplicated(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, all columns kept.
+WIDE_BITS = 512
+_LANES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(WIDE_BITS // 64)], np.uint64)
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """The 512-bit SimHash of a text's distinct word shingles; zeros for a text without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < width:
+        hashes = np.array([digest(join(words), 42)], np.uint64)
+    else:
+        hashes = np.unique(np.array([digest(join(s), 42) for s in zip(*(words[k:] for k in range(width)))], np.uint64))
+    ones = np.empty((len(_LANES), 64), np.int64)
+    for k, lane in enumerate(_LANES):
+        h = (hashes ^ lane) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(h), _CHUNK):
+            bits = np.unpackbits(h[at : at + _CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64)
+            total += np.add.reduce(bits, axis=0, dtype=np.uint32)
+        ones[k] = total
+    return np.packbits(2 * ones.ravel() > len(hashes)).tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of bits in which SimHashes of two sets of that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampling(count: int, share: float, recall: float = 0.95, per_bucket: int = 256) -> tuple[int, int]:
+    """(bits in a key, keys): with these a pair that differs in ``share`` of its bits meets with ``recall``."""
+    bits = min(56, max(12, math.ceil(math.log2(max(1, count) / per_bucket))))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
+
+
+def wide_links(distinct: DataFrame, similarity: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``distinct(fp, wide)`` -> ``(a, b)`` of fp: links between fingerprints whose bits tell of the similarity."""
+    share = differing_share(similarity)
+    radius = math.ceil(WIDE_BITS * share + 0.8 * math.sqrt(WIDE_BITS * share * (1 - share)))
+    bits, tables = sampling(distinct.count(), share)
+    rng = np.random.default_rng(bits)
+    places = [rng.choice(WIDE_BITS, bits, replace=False) for _ in range(tables)]
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8)
+        matrix = np.unpackbits(raw).reshape(-1, WIDE_BITS)
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        made = np.stack([(k << 56) | (matrix[:, p].astype(np.int64) @ powers) for k, p in enumerate(places)], axis=1)
+        offsets = pa.array(np.arange(0, made.size + 1, tables), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("wide"), lists], ["fp", "wide", "keys"])
+
+    keyed = checkpointed(per_batch(distinct, keys, "fp long, wide binary, keys array<long>"))
+    sizes = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = (
+        keyed.select("fp", "wide", F.explode("keys").alias("key"))
+        .join(sizes, "key")
+        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / shard_rows)).cast("int"))
+        .select("key", "fp", "wide", "own", F.explode(F.sequence(F.lit(0), "own")).alias("shard"))
+        .select("key", "shard", (F.col("own") != F.col("shard")).alias("probe"), "fp", "wide")
+    )
+    grouped = dealt.repartition("key", "shard").sortWithinPartitions("key", "shard", "probe")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(k).to_pylist() for k in range(5)))
+
+        a, b = [], []
+        for _, group in groupby(rows(), key=lambda r: r[:2]):
+            tree, name = BKTree(radius), {}
+            for *_, probe, fp, wide in group:
+                value = int.from_bytes(wide)
+                name[value] = fp
+                (tree.search if probe else tree.add)(value)
+            for x, root in tree.forest():
+                a.append(name[x])
+                b.append(name[root])
+            if len(a) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return grouped.mapInArrow(trees, "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Like ``near_duplicates``, for texts whose sets of word shingles have the Jaccard similarity or more.
+
+    fp is the hash of the wide fingerprint. Pairs at the limit are found with a probability near the
+    recall of ``sampling`` times the share that the estimate puts above the limit; closer ones with more.
+    """
+
+    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [wide_fingerprint(t, width) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.binary())], ["doc_id", "text_hash", "wide"]
+        )
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        F.col("text").cast("string").alias("text"),
+    )
+    made = checkpointed(
+        per_batch(rows, over, "doc_id long, text_hash long, wide binary").withColumn("fp", F.xxhash64("wide"))
+    )
+    distinct = made.select("fp", "wide").distinct()
+    return _components(made.drop("wide"), wide_links(distinct, similarity))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns kept.
 
     The row with the least doc_id stays; among rows that share it, the one with the least text hash.
     """
     keys = ["__near_id", "__near_null", "__near_hash"]
-    one = near_duplicates(docs, width, radius).where(
+    one = near_copies(docs, width, similarity).where(
         F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))
     )
     # Plain equalities on three columns: the join leaves the rows dealt out and sorted as the last
@@ -250,7 +376,7 @@ def deduplicated(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
             keys[2]: F.xxhash64(F.coalesce("text", F.lit(""))),
         }
     )
-    return keyed.join(kept, keys).dropDuplicates(keys).select(*docs.columns)
+    return keyed.join(kept, keys).dropDuplicates(keys).select(*(f"`{c}`" for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
