@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.plans import catalog
+
+_MODULES = (catalog,)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
