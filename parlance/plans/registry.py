@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import catalog
+from parlance.plans import catalog, ranking
 
-_MODULES = (catalog,)
+_MODULES = (catalog, ranking)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in _MODULES:
