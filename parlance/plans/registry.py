@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import catalog, conversation, ranking
+from parlance.plans import catalog, conversation, evaluation, ranking
 
-_MODULES = (catalog, ranking, conversation)
+_MODULES = (catalog, ranking, conversation, evaluation)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in _MODULES:
