@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.config import ABLATIONS, Config
+from parlance.config import Config
 from parlance.functions import text as T
 from parlance.functions import vocabulary as V
 from parlance.operators import dense as DN
@@ -231,26 +230,43 @@ def simulate_sessions(spark, sf_dir):
     return E.simulate(ranking._sessions(spark, sf_dir), _base(spark, sf_dir), _SIM)
 
 
-_GRID = ("default", "no_clarification", "no_constraint_scoring", "no_confidence_gate", "no_popularity_prior")
+#: Settings played in one run: weights of constraints and popularity, last turn that the gate holds.
+_GRID = (
+    ("default", 2.6, 1.2, 3), ("no_constraint_scoring", 0.0, 1.2, 3), ("no_popularity_prior", 2.6, 0.0, 3), ("no_confidence_gate", 2.6, 1.2, 0),
+    ("popularity_0.55", 2.6, 0.55, 3), ("gate_max_turn_6", 2.6, 1.2, 6),
+)
+
+
+def _named(sessions, names):
+    """Every session once for each name, which begins its id."""
+    return sessions.crossJoin(F.broadcast(names)).withColumn("query", F.concat("name", F.lit("|"), "query"))
+
+
+def _by_name(results):
+    rows = results.withColumn("scenario_type", F.substring_index("sample_id", "|", 1))
+    return M.by_scenario(rows).where("scenario_type <> 'ALL'")
 
 
 def config_ablation(spark, sf_dir):
-    """Metrics of the default and four ablations over the same sessions and index."""
-    base, sessions = _base(spark, sf_dir), ranking._sessions(spark, sf_dir)
-    runs = [
-        M.with_composite(M.session_metrics(E.simulate(sessions, base, replace(_SIM, **ABLATIONS[n])))).withColumn("config", F.lit(n)) for n in _GRID
-    ]
-    return reduce(DataFrame.unionByName, runs)
+    """Metrics of the default and five other settings over the same sessions, played in one run."""
+    grid = spark.createDataFrame(list(_GRID), "name string, wc double, wp double, gate int")
+    config = replace(_SIM, w_constraint=F.col("wc"), w_popularity=F.col("wp"), gate_max_turn=F.col("gate"))
+    out = E.simulate(_named(ranking._sessions(spark, sf_dir), grid), _base(spark, sf_dir), config, extra=("wc", "wp", "gate"))
+    return _by_name(out).withColumnRenamed("scenario_type", "config")
 
 
 def perturbed_evaluation(spark, sf_dir):
-    """Metrics with every customer message reworded: none, casing, heavy."""
-    base, sessions = _base(spark, sf_dir), ranking._sessions(spark, sf_dir)
-    kinds = {
-        "control": None, "casing": lambda m, q, t: T.perturb_casing(m), "heavy": lambda m, q, t: T.perturb_heavy(m, q, F.lit(t)),
-    }
-    runs = [M.with_composite(M.session_metrics(E.simulate(sessions, base, _SIM, f))).withColumn("perturbation", F.lit(n)) for n, f in kinds.items()]
-    return reduce(DataFrame.unionByName, runs)
+    """Metrics with every customer message reworded, for each sort of rewording, played in one run."""
+    kinds = ("control", "casing", "punctuation", "light", "heavy")
+    names = spark.createDataFrame([(k,) for k in kinds], "name string")
+
+    def rewrite(m, q, turn):
+        kind, t = F.substring_index(q, "|", 1), F.lit(turn)
+        made = F.when(kind == "casing", T.perturb_casing(m)).when(kind == "punctuation", T.perturb_punctuation(m))
+        return made.when(kind == "light", T.perturb_light(m, q, t)).when(kind == "heavy", T.perturb_heavy(m, q, t)).otherwise(m)
+
+    out = E.simulate(_named(ranking._sessions(spark, sf_dir), names), _base(spark, sf_dir), _SIM, rewrite)
+    return _by_name(out).withColumnRenamed("scenario_type", "perturbation")
 
 
 def stream_state_replay(spark, sf_dir):
