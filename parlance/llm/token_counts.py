@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import pieces
-from parlance.llm.common import fresh_path, per_batch
+from parlance.llm.common import checkpointed, fresh_path, per_batch
 
 #: Pieces whose counts a worker remembers, some 80 MB; a full memory is emptied.
 MEMORY = 500_000
@@ -129,7 +129,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
     counted = per_batch(chosen, over, "digest binary, cached long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     known = _read(spark, cache, version)
-    known = known.groupBy("digest").agg(F.max("cached").alias("n_tokens"))
+    # Fixed by a checkpoint, the counts meet the rows in a plain join, in which Spark splits the copies of
+    # one text that would otherwise all go to one task.
+    known = checkpointed(known.groupBy("digest").agg(F.max("cached").alias("n_tokens")))
     return rows.join(known, "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
