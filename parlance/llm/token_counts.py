@@ -119,8 +119,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
         F.unhex(digest).alias("digest"),
         text.alias("text"),
     )
-    # Joined on the row's id too, so that the copies of one text are dealt out evenly.
-    chosen = full.join(misses, ["digest", "rep", "rep_null"], "left_semi").select("digest", "text")
+    # Joined on the row's id too, so that the copies of one text are dealt out evenly. Rows of one id and
+    # text are then together already, and one of them stays.
+    keys = ["digest", "rep", "rep_null"]
+    chosen = full.join(misses, keys, "left_semi").dropDuplicates(keys).select("digest", "text")
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = counter(tokenizer).counts(batch.column("text").to_pylist())
