@@ -295,7 +295,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ).withColumn("host", F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1), F.lit("")))
     key = F.xxhash64("html")
     hosts = (
-        rows.where("host IS NOT NULL")
+        rows.where("host IS NOT NULL AND html <> ''")
         .groupBy("host")
         .agg(F.min(key).alias("key"), F.count("*").alias("n_pages"))
         .where(F.col("n_pages") >= LEAST_PAGES)

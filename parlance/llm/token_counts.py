@@ -131,6 +131,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
     counted = per_batch(chosen, over, "digest binary, cached long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     known = _read(spark, cache, version)
+    if known is None:  # nothing was written, as there are no texts
+        known = spark.createDataFrame([], "digest binary, cached long")
     # Fixed by a checkpoint, the counts meet the rows in a plain join, in which Spark splits the copies of
     # one text that would otherwise all go to one task.
     known = checkpointed(known.groupBy("digest").agg(F.max("cached").alias("n_tokens")))
