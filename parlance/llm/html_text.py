@@ -294,24 +294,24 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("host", F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1), F.lit("")))
     key = F.xxhash64("html")
-    hosts = (
+    hosts = checkpointed(
         rows.where("host IS NOT NULL AND html <> ''")
         .groupBy("host")
         .agg(F.min(key).alias("key"), F.count("*").alias("n_pages"))
         .where(F.col("n_pages") >= LEAST_PAGES)
     )
 
+    def bounded(df: DataFrame, size) -> DataFrame:
+        total = df.agg(F.sum(size)).first()[0] or 0
+        return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
     def skeletons(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = pa.array([skeleton(h) for h in batch.column("html").to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n_pages"), made], ["host", "n_pages", "tree"])
 
-    chosen = rows.withColumn("key", key).join(hosts, ["host", "key"]).select("host", "n_pages", "html")
+    chosen = rows.withColumn("key", key).join(bounded(hosts, F.length("host") + 40), ["host", "key"]).select("host", "n_pages", "html")
     trees = checkpointed(per_batch(chosen, skeletons, "host string, n_pages long, tree string").dropDuplicates(["host"]))
 
-    def bounded(df: DataFrame, size) -> DataFrame:
-        total = df.agg(F.sum(size)).first()[0] or 0
-        return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
     def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
         host, node, text = [], [], []
         for h, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree")), strict=True):
