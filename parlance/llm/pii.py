@@ -25,14 +25,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # two letters, two digits, then 11 to 30 letters or digits, in groups or not
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Z0-9])",
+    # two letters, two digits, then 11 to 30 letters or digits, in groups or not. Only the first four are
+    # taken; the group looks ahead (at one more, if a run goes on), so what follows stays for other matches
+    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Z0-9]?))",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 #: A text without this is not searched: a cheap test before the expression.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-_PART = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: Words near a span that make it likelier, in the languages of the corpus. A span starts at its
 #: kind's score, and a word within WINDOW code points before it adds LIFT.
 CONTEXT = {
@@ -82,31 +83,51 @@ def _valid(kind: str, s: Column) -> Column:
         return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(s)).between(9, 15)
-    if kind == "iban":
-        return mod97(s)
     return F.lit(True)
 
 
+def _accounts(s: Column) -> Column:
+    """The longest account number that ``s`` begins with, in an array; empty if no end at a group passes.
+
+    Words in capitals and further numbers may follow an account number, so every group can be its last.
+    """
+    groups = F.split(s, " ")
+    ends = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    return F.slice(F.filter(ends, lambda e: F.length(F.replace(e, F.lit(" "), F.lit(""))).between(15, 34) & mod97(e)), 1, 1)
+
+
 _EMPTY = "array<struct<start:int,end:int,found:string>>"
 
 
 def _spans(kind: str, text: Column) -> Column:
     """The valid matches of one kind: an array of (start, end, found), in order."""
     pattern = F.lit(PATTERNS[kind])
-    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, PATTERNS[kind], -1).alias("gaps"))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    ahead = F.regexp_extract_all(text, pattern, F.lit(1)) if kind == "iban" else found
+    both = F.struct(found.alias("found"), ahead.alias("ahead"), F.split(text, PATTERNS[kind], -1).alias("gaps"))
 
     def place(x: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(x.gaps, F.lit(1), F.size(x.found)).alias("gap"), x.found.alias("found"))
+        pairs = F.arrays_zip(F.slice(x.gaps, F.lit(1), F.size(x.found)).alias("gap"), x.found.alias("found"), x.ahead.alias("ahead"))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
 
         def step(acc: Column, p: Column) -> Column:
             begin = acc.at + F.length(p["gap"])
             end = begin + F.length(p["found"])
             # Invalid matches are dropped here, so the array stays as short as the result.
-            one = F.when(
-                _valid(kind, p["found"]),
-                F.array(F.struct(begin.alias("start"), end.alias("end"), p["found"].alias("found"))),
-            ).otherwise(F.array().cast(_EMPTY))
+            none = F.array().cast(_EMPTY)
+            if kind == "iban":
+                one = F.when(
+                    begin >= F.coalesce(F.try_element_at(acc.out, F.lit(-1)).end, F.lit(0)),
+                    F.transform(
+                        _accounts(F.concat(p["found"], p["ahead"])),
+                        lambda s: F.struct(begin.alias("start"), (begin + F.length(s)).alias("end"), s.alias("found")),
+                    ),
+                ).otherwise(none)
+            else:
+                one = F.when(
+                    _valid(kind, p["found"]),
+                    F.array(F.struct(begin.alias("start"), end.alias("end"), p["found"].alias("found"))),
+                ).otherwise(none)
             return F.struct(end.alias("at"), F.concat(acc.out, one).alias("out"))
 
         return F.aggregate(pairs, start, step, lambda acc: acc.out)

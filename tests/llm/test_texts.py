@@ -174,6 +174,22 @@ def test_pii_equals_brute_force(spark):
     assert pii.query(docs.limit(0)).count() == 0
 
 
+def test_pii_zero_parts_and_account_ends(spark):
+    whole = "GB82 WEST 1234 5698 7654 32"
+    german = "DE89370400440532013000"
+    cases = {
+        "10.0.0.1": "ip:0:8", "127.0.0.1": "ip:0:9", "192.168.0.1": "ip:0:11", "0.0.0.0": "ip:0:7", "000.00.0.10": "ip:0:11",
+        "256.0.0.1": "", "0256.0.0.1": "",
+        f"{whole} BIC MIDLGB22": "iban:0:27", f"{german} BIC COBADEFF": "iban:0:22", f"{whole} {german}.": "iban:0:27,iban:28:50",
+        f"é {german} {whole}": "iban:2:24,iban:25:52", f"AB12 CDEF 3456 7890 {german}": "iban:20:42",
+        f"{german}X": "", f"X{german}": "", f"{german}{'9' * 30}": "",
+    }
+    texts = list(cases)
+    rows = pii.query(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {texts[r.doc_id]: r.spans for r in rows} == cases
+    assert {texts[r.doc_id]: r.n_ip for r in rows if r.n_ip} == {t: 1 for t, s in cases.items() if s.startswith("ip")}
+
+
 def brute_secrets(text):
     spans = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
