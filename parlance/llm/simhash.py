@@ -15,11 +15,10 @@ Every pair of fingerprints that differ in at most ``radius`` bits is linked, exa
   the searcher's own part is skipped, and each tree returns a spanning forest: at most one row per
   fingerprint, also for thousands of near copies.
 
-``near_copies`` finds texts by shingle similarity instead of by a given number of bits. At a
-similarity of 0.8 two fingerprints differ in about 15 % of their bits, and no exact cutting into blocks
-reaches so far. It takes fingerprints of 512 bits over distinct shingles, deals them out by samples of
-their bits, as many as a pair at the limit needs to meet with the wanted recall, and searches each
-bucket with the same trees. The share of differing bits estimates the similarity.
+``near_copies`` finds texts by shingle similarity instead of by a given number of bits. Keys of several
+MinHash values each make candidate groups, with as many keys as a pair at the limit needs to share one
+with the wanted recall. Inside a group the sets of shingles are compared exactly: no link stands on an
+estimate.
 """
 
 from __future__ import annotations
@@ -237,31 +236,92 @@ def _components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
 
 
-WIDE_BITS = 512
-_LANES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(WIDE_BITS // 64)], np.uint64)
+#: MinHash values in a key, and how surely a pair at the limit shares a key.
+KEY_VALUES, KEY_RECALL = 8, 0.995
+#: Shingles of a candidate group in one shard.
+SHARD_SHINGLES = 4_000_000
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """The 512-bit SimHash of a text's distinct word shingles; zeros for a text without words."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; of all its words if they are fewer."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return np.empty(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < width:
-        hashes = np.array([digest(join(words), 42)], np.uint64)
-    else:
-        hashes = np.unique(np.array([digest(join(s), 42) for s in zip(*(words[k:] for k in range(width)))], np.uint64))
-    ones = np.empty((len(_LANES), 64), np.int64)
-    for k, lane in enumerate(_LANES):
-        h = (hashes ^ lane) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(h), _CHUNK):
-            bits = np.unpackbits(h[at : at + _CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64)
-            total += np.add.reduce(bits, axis=0, dtype=np.uint32)
-        ones[k] = total
-    return np.packbits(2 * ones.ravel() > len(hashes)).tobytes()
+        return np.array([digest(join(words), 42)], np.uint64)
+    return np.unique(np.array([digest(join(s), 42) for s in zip(*(words[k:] for k in range(width)))], np.uint64))
+
+
+def keys_for(similarity: float, recall: float = KEY_RECALL) -> int:
+    """The number of keys by which a pair of that Jaccard similarity shares one with ``recall``."""
+    met = similarity**KEY_VALUES
+    return 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
+def minhash_keys(shingles: np.ndarray, keys: int) -> list[int]:
+    """Hashes of ``keys`` groups of KEY_VALUES MinHash values each; two sets agree on a value with their similarity."""
+    rng = np.random.default_rng(8)
+    turns = rng.integers(0, 1 << 32, (keys * KEY_VALUES, 1), np.uint32) | np.uint32(1)
+    adds = rng.integers(0, 1 << 32, (keys * KEY_VALUES, 1), np.uint32)
+    values, low = np.full(keys * KEY_VALUES, 0xFFFFFFFF, np.uint32), shingles.astype(np.uint32)
+    for at in range(0, len(low), 2048):
+        mixed = turns * low[at : at + 2048]
+        mixed += adds
+        values = np.minimum(values, mixed.min(axis=1))
+    raw = values.reshape(keys, KEY_VALUES)
+    return [xxhash.xxh64_intdigest(raw[k].tobytes(), k) - (1 << 63) for k in range(keys)]
+
+
+class Confirmed:
+    """Sets of shingles, linked where their Jaccard similarity is the limit or more; exact.
+
+    Two such sets share one of the first hashes of each: of n, those up to place n - ceil(limit n). So
+    only sets that meet there are compared, and none of a part that is linked already.
+    """
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity = similarity
+        self.sets: dict[int, np.ndarray] = {}
+        self.parent: dict[int, int] = {}
+        self.met: dict[int, dict[int, list[int]]] = {}  # hash -> part when stored -> names
+
+    find, _link, forest = BKTree.find, BKTree._link, BKTree.forest
+
+    def _first(self, shingles: np.ndarray) -> list[int]:
+        n = len(shingles)
+        return shingles[: n - math.ceil(self.similarity * n - 1e-9) + 1].tolist()
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        least, most = sorted((len(a), len(b)))
+        if least < self.similarity * most - 1e-9:
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= self.similarity * (least + most - both) - 1e-9
+
+    def search(self, x: int, shingles: np.ndarray) -> None:
+        """Link ``x`` with every part that holds a set similar to its own."""
+        self.parent.setdefault(x, x)
+        tested: set[int] = set()
+        for h in self._first(shingles):
+            for part, names in self.met.get(h, {}).items():
+                for y in names:
+                    if self.find(part) == self.find(x):
+                        break
+                    if y not in tested:
+                        tested.add(y)
+                        if self.similar(self.sets[y], shingles):
+                            self._link(x, y)
+
+    def add(self, x: int, shingles: np.ndarray) -> None:
+        """Search for ``x``, then store it."""
+        if x in self.sets:
+            return
+        self.search(x, shingles)
+        self.sets[x] = shingles
+        part = self.find(x)
+        for h in self._first(shingles):
+            self.met.setdefault(h, {}).setdefault(part, []).append(x)
 
 
 def differing_share(similarity: float) -> float:
@@ -275,81 +335,78 @@ def sampling(count: int, share: float, recall: float = 0.95, per_bucket: int = 2
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
 
 
-def wide_links(distinct: DataFrame, similarity: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``distinct(fp, wide)`` -> ``(a, b)`` of fp: links between fingerprints whose bits tell of the similarity."""
-    share = differing_share(similarity)
-    radius = math.ceil(WIDE_BITS * share + 0.8 * math.sqrt(WIDE_BITS * share * (1 - share)))
-    bits, tables = sampling(distinct.count(), share)
-    rng = np.random.default_rng(bits)
-    places = [rng.choice(WIDE_BITS, bits, replace=False) for _ in range(tables)]
-
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8)
-        matrix = np.unpackbits(raw).reshape(-1, WIDE_BITS)
-        powers = 1 << np.arange(bits, dtype=np.int64)
-        made = np.stack([(k << 56) | (matrix[:, p].astype(np.int64) @ powers) for k, p in enumerate(places)], axis=1)
-        offsets = pa.array(np.arange(0, made.size + 1, tables), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("wide"), lists], ["fp", "wide", "keys"])
-
-    keyed = checkpointed(per_batch(distinct, keys, "fp long, wide binary, keys array<long>"))
-    sizes = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+def confirmed_links(docs: DataFrame, made: DataFrame, width: int, similarity: float, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """``made(doc_id, text_hash, fp, n, keys)`` of ``docs`` -> ``(a, b)`` of fp: links that connect what exact
+    comparison connects, among sets that shared keys connect.
+
+    Of each set one text is sent to its candidate group. A group beyond ``shard_shingles`` is cut into
+    shards as in ``links``.
+    """
+    keyed = made.select("fp", F.explode("keys").alias("key")).distinct()
+    least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("m")).where("m > 1")
+    groups = connected_components(keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
+    chosen = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"), F.first("n").alias("n"))
+    members = checkpointed(chosen.join(groups.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "n", "row.*"))
+    shards = members.groupBy("root").agg(F.ceil((F.sum("n") + 1) / shard_shingles).cast("int").alias("shards"))
+    sent = (
+        members.join(shards, "root")
+        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "shards").cast("int"))
+        .select("fp", "root", "own", F.col("none").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
+    )
+    texts = docs.select(
+        F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), F.col("text").cast("string").alias("text"),
+    )
     dealt = (
-        keyed.select("fp", "wide", F.explode("keys").alias("key"))
-        .join(sizes, "key")
-        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / shard_rows)).cast("int"))
-        .select("key", "fp", "wide", "own", F.explode(F.sequence(F.lit(0), "own")).alias("shard"))
-        .select("key", "shard", (F.col("own") != F.col("shard")).alias("probe"), "fp", "wide")
+        texts.join(sent, ["_none", "_id", "_hash"])
+        .select("fp", "root", "own", "text", F.explode(F.sequence(F.lit(0), "own")).alias("shard"))
+        .select("root", "shard", (F.col("own") != F.col("shard")).alias("probe"), "fp", "text")
     )
-    grouped = dealt.repartition("key", "shard").sortWithinPartitions("key", "shard", "probe")
+    grouped = dealt.repartition("root", "shard").sortWithinPartitions("root", "shard", "probe")
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 yield from zip(*(b.column(k).to_pylist() for k in range(5)))
 
-        a, b = [], []
         for _, group in groupby(rows(), key=lambda r: r[:2]):
-            tree, name = BKTree(radius), {}
-            for *_, probe, fp, wide in group:
-                value = int.from_bytes(wide)
-                name[value] = fp
-                (tree.search if probe else tree.add)(value)
-            for x, root in tree.forest():
-                a.append(name[x])
-                b.append(name[root])
-            if len(a) >= 50_000:
+            sets = Confirmed(similarity)
+            for *_, probe, fp, text in group:
+                (sets.search if probe else sets.add)(fp, shingle_set(text, width))
+            if found := list(sets.forest()):
+                a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return grouped.mapInArrow(trees, "a long, b long")
+    return grouped.mapInArrow(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Like ``near_duplicates``, for texts whose sets of word shingles have the Jaccard similarity or more.
 
-    fp is the hash of the wide fingerprint. Pairs at the limit are found with a probability near the
-    recall of ``sampling`` times the share that the estimate puts above the limit; closer ones with more.
+    fp is the hash of the set. Every link is confirmed on the sets. A pair at the limit becomes a
+    candidate with KEY_RECALL at least, closer ones with more; a candidate at the limit is never lost.
     """
+    keys = keys_for(similarity)
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [wide_fingerprint(t, width) for t in batch.column("text").to_pylist()]
+        sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.binary())], ["doc_id", "text_hash", "wide"]
-        )
+            [
+                batch.column("doc_id"), batch.column("text_hash"),
+                pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([minhash_keys(s, keys) for s in sets], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "text_hash", "fp", "n", "keys"],
+        )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
-    made = checkpointed(
-        per_batch(rows, over, "doc_id long, text_hash long, wide binary").withColumn("fp", F.xxhash64("wide"))
-    )
-    distinct = made.select("fp", "wide").distinct()
-    return _components(made.drop("wide"), wide_links(distinct, similarity))
+    made = checkpointed(per_batch(rows, over, "doc_id long, text_hash long, fp long, n long, keys array<long>"))
+    return _components(made.drop("n", "keys"), confirmed_links(docs, made, width, similarity))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -123,6 +123,66 @@ def test_near_copies_by_similarity(spark):
     assert set(kept[0].asDict()) == {"doc_id", "text", "lang"}
 
 
+def brute_jaccard(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def around_the_limit():
+    """(texts, pairs): 500 pairs just above a similarity of 0.8, 500 from 0.70 to just below it, and short texts."""
+    rng = random.Random(6)
+    texts, pairs = [], []
+    for n in range(1000):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice((60, 200, 400)))]
+        low, high = (0.8, 0.815) if n % 2 else (0.70, 0.7999)
+        while True:  # the end is replaced, so one word costs one shingle
+            k = rng.randrange(len(base) // 3)
+            other = base[: len(base) - k] + [f"u{rng.randrange(10**6)}" for _ in range(k)]
+            if low <= brute_jaccard(" ".join(base), " ".join(other)) <= high:
+                break
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    nine = [f"s{i}" for i in range(9)]  # five shingles against four: 0.8 exactly
+    pairs.append((len(texts), len(texts) + 1))
+    texts += [" ".join(nine), " ".join(nine[:-1])]
+    return texts, pairs
+
+
+@pytest.mark.parametrize("shard", [None, 1000])
+def test_near_copies_at_the_limit(spark, monkeypatch, shard):
+    texts, pairs = around_the_limit()
+    if shard:
+        exact = simhash.confirmed_links
+        monkeypatch.setattr(simhash, "confirmed_links", lambda *a: exact(*a, shard_shingles=shard))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    part = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    above = [(a, b) for a, b in pairs if brute_jaccard(texts[a], texts[b]) >= 0.8]
+    below = [(a, b) for a, b in pairs if brute_jaccard(texts[a], texts[b]) < 0.8]
+    assert len(above) == 501 and len(below) == 500
+    recall = sum(part[a] == part[b] for a, b in above) / len(above)
+    false = sum(part[a] == part[b] for a, b in below)
+    print(f"recall {recall:.4f}, false links {false} of {len(below)}")
+    assert recall >= 0.99 and false == 0
+
+
+def test_confirmed_links_equal_brute_force():
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    base = [[rng.choice(words) for _ in range(rng.randint(5, 60))] for _ in range(12)]
+    texts = set()
+    for _ in range(250):  # chains of texts that drift away from each other
+        t = rng.choice(base)
+        t[rng.randrange(len(t))] = rng.choice(words)
+        texts.add(" ".join(t))
+    texts = sorted(texts)
+    sets = simhash.Confirmed(0.8)
+    for i, t in enumerate(texts):
+        sets.add(i, simhash.shingle_set(t))
+    linked = [(a, b) for a, b in combinations(range(len(texts)), 2) if brute_jaccard(texts[a], texts[b]) >= 0.8]
+    assert linked
+    assert {i: sets.find(i) for i in range(len(texts))} == brute_components(range(len(texts)), linked)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5001), (5001, 5002), (5002, 5000), (7, 7)]
     rows = connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
