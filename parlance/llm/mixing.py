@@ -3,7 +3,10 @@
 Token totals of the cells (source, language, topic) are raked until their sums over each dimension
 meet its target shares. A document's weight is that of its cell; its sampling probability is the
 weight scaled so that the heaviest cell is taken whole, so no probability is capped and the expected
-token shares are exactly the raked ones. Draws are hashes of the ids: the same on any cluster, and
+token shares are exactly the raked ones. That way the rarest cell decides how much is kept; with
+``Targets.least`` a share of all tokens is kept at least: the weights are scaled up until the rest makes
+up for the cells that are taken whole, and ``deviation`` tells how far the shares then are from the
+raked ones. Draws are hashes of the ids: the same on any cluster, and
 after any executor is lost.
 """
 
@@ -29,13 +32,14 @@ class Targets:
 
     ``power``: a dimension's shares are its present ones to this power, made to sum to one (below 1
     evens them out, 1 keeps them). ``shares``: explicit shares instead; values not named keep their
-    present share of what is left.
+    present share of what is left. ``least``: the share of all tokens to keep, or more (in expectation).
     """
 
     power: dict[str, float] = field(default_factory=lambda: {"source": 0.8, "lang": 0.8, "topic": 1.0})
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
     rounds: int = 12
     seed: str = "mix-1"
+    least: float = 0.0
 
 
 def topic(text: Column) -> Column:
@@ -83,6 +87,43 @@ def rake(codes: list[np.ndarray], totals: np.ndarray, shares: list[np.ndarray],
     return weight
 
 
+def scale(totals: np.ndarray, weight: np.ndarray, least: float) -> float:
+    """The factor from weights to probabilities (at most 1 each): the heaviest cell is just taken whole, or more
+    so that ``least`` of all tokens are kept."""
+    held = (totals > 0) & (weight > 0)
+    if not held.any():
+        return 1.0
+    t, w = totals[held], weight[held]
+    factor, whole = 1.0 / w.max(), np.zeros(len(w), bool)
+    # Cells that become whole leave a goal to the others, until no more of them become whole.
+    while not whole.all():
+        factor = max(factor, (least * t.sum() - t[whole].sum()) / (t * w)[~whole].sum())
+        more = whole | (factor * w >= 1)
+        if (more == whole).all():
+            break
+        whole = more
+    return float(factor)
+
+
+def _table_scale(state: DataFrame, least: float) -> float:
+    """``scale`` for any number of cells."""
+    held = state.where("_tokens > 0 AND _weight > 0")
+    top, total = held.agg(F.max("_weight"), F.sum("_tokens")).first()
+    if not top:
+        return 1.0
+    factor, before = 1.0 / top, -1
+    while True:  # as above; from the cells that are whole by the last factor
+        whole = F.col("_weight") * F.lit(factor) >= 1
+        taken, rest, count = held.agg(
+            F.coalesce(F.sum(F.when(whole, F.col("_tokens"))), F.lit(0)).cast("double"),
+            F.coalesce(F.sum(F.when(~whole, F.col("_tokens") * F.col("_weight"))), F.lit(0.0)),
+            F.count_if(whole),
+        ).first()
+        if not rest or count == before:
+            return factor
+        factor, before = max(factor, (least * total - taken) / rest), count
+
+
 def _raked_table(cells: DataFrame, targets: Targets) -> DataFrame:
     """The same weights for any number of cells, with a checkpoint after each round."""
     whole = cells.agg(F.sum("_tokens")).first()[0] or 0
@@ -129,8 +170,8 @@ def cell_weights(rows: DataFrame, targets: Targets, max_cells: int = MAX_CELLS)
     schema = ", ".join([*(f"{n} string" for n in names), "_weight double, _probability double"])
     if len(few) > max_cells:
         state = _raked_table(checkpointed(cells), targets)
-        top = state.where("_tokens > 0").agg(F.max("_weight")).first()[0] or 1.0
-        return state.select(*names, "_weight", F.least(F.col("_weight") / F.lit(top), F.lit(1.0)).alias("_probability"))
+        factor = _table_scale(state, targets.least)
+        return state.select(*names, "_weight", F.least(F.col("_weight") * F.lit(factor), F.lit(1.0)).alias("_probability"))
     if not few:
         return spark.createDataFrame([], schema)
     few.sort(key=lambda r: tuple((r[n] is not None, r[n] or "") for n in names))
@@ -140,9 +181,9 @@ def cell_weights(rows: DataFrame, targets: Targets, max_cells: int = MAX_CELLS)
         codes.append(np.array([values.setdefault(r[name], len(values)) for r in few]))
         shares.append(_targets(list(values), np.bincount(codes[-1], totals, len(values)), d, targets))
     weight = rake(codes, totals, shares, targets.rounds)
-    top = weight[totals > 0].max() if (totals > 0).any() else 1.0
+    factor = scale(totals, weight, targets.least)
     made = [
-        (*(r[n] for n in names), float(w), float(min(1.0, w / top))) for r, w in zip(few, weight, strict=True)
+        (*(r[n] for n in names), float(w), float(min(1.0, w * factor))) for r, w in zip(few, weight, strict=True)
     ]
     return F.broadcast(spark.createDataFrame(made, schema))
 
@@ -179,6 +220,21 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_
     return _weighted(docs, targets, max_cells).where("_sampled").select(*(f"`{c}`" for c in docs.columns))
 
 
+def deviation(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS) -> DataFrame:
+    """One row: kept_docs and kept_tokens, the expected shares that are drawn, and moved, the share of the drawn
+    tokens that is in other cells than by the raked weights (0 without ``Targets.least``)."""
+    rows = _weighted(docs, targets, max_cells)
+    cells = rows.groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(
+        F.count("*").alias("docs"), F.sum("_tokens").alias("t"), F.first("_weight").alias("w"), F.first("_probability").alias("p")
+    )
+    sums = cells.agg(F.sum(F.col("t") * F.col("w")).alias("tw"), F.sum(F.col("t") * F.col("p")).alias("tp"))
+    return cells.crossJoin(F.broadcast(sums)).agg(
+        (F.sum(F.col("docs") * F.col("p")) / F.sum("docs")).alias("kept_docs"),
+        (F.sum(F.col("t") * F.col("p")) / F.sum("t")).alias("kept_tokens"),
+        (F.sum(F.abs(F.col("t") * F.col("w") / F.col("tw") - F.col("t") * F.col("p") / F.col("tp"))) / 2).alias("moved"),
+    )
+
+
 def query(docs: DataFrame) -> DataFrame:
     """The rows of query op10."""
     return mix(docs)

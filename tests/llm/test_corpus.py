@@ -240,6 +240,32 @@ def test_raked_shares_meet_their_targets(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.sampled for r in rows)
 
 
+def test_pipeline_mixing_keeps_its_share_beside_rare_sources(spark):
+    import corpus_pipeline as P
+
+    rows = [(i, "one two three four", ("en", "en", "en", "de")[i % 4], "hot" if i % 100 else "warm") for i in range(10_000)]
+    rows += [(20_000 + i, "one two three four", "fr", "rare") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = dict(P.STAGES)["mixing"](spark, docs, "").count() / len(rows)
+    print(f"kept {kept:.3f}; without a least share {mixing.sampled(docs).count() / len(rows):.3f}")
+    assert kept >= 0.74
+    for cells in (mixing.MAX_CELLS, 0):
+        r = mixing.deviation(docs, mixing.Targets(least=0.75, rounds=2), cells).first()
+        assert r.kept_tokens == pytest.approx(0.75, abs=1e-3) and 0 < r.moved < 0.25
+    assert mixing.deviation(docs, mixing.Targets(rounds=2)).first().moved == pytest.approx(0, abs=1e-9)
+
+
+def test_scale_reaches_the_share():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        t, w = rng.integers(0, 1000, 30).astype(float), rng.lognormal(0, 3, 30)
+        for least in (0.0, 0.3, 0.75, 1.0):
+            p = np.minimum(1, mixing.scale(t, w, least) * w)
+            assert (t * p).sum() >= least * t.sum() * (1 - 1e-9)
+            free = (t * np.minimum(1, w / w[t > 0].max())).sum()
+            assert (t * p).sum() == pytest.approx(max(free, least * t.sum()))
+
+
 def test_pipeline_keeps_clean_documents_and_columns(spark, small):
     import corpus_pipeline as P
 
