@@ -245,19 +245,20 @@ def _collect(node: Node, constant: set[int], out: list[str]) -> None:
             _collect(child, constant, out)
 
 
-def _containers(node: Node, out: dict[str, list[Node]]) -> None:
+def _containers(node: Node, out: dict[str, list[Node]], within: bool = False) -> None:
+    """The outermost articles and the outermost main containers, in page order."""
     for child in node.children:
         if child.skip:
             continue
-        if child.tag == "article":
+        if child.tag == "article" and not within:
             out["article"].append(child)
         elif child.main and not node.main:
             out["main"].append(child)
-        _containers(child, out)
+        _containers(child, out, within or child.tag == "article")
 
 
 def main_text(page: str, tree: str | None = None, constant: dict[int, int] | None = None) -> str:
-    """The text of a page's article: its blocks in page order, joined by newlines.
+    """The text of a page's articles: their blocks in page order, joined by newlines.
 
     ``tree`` and ``constant`` are the host's template: the reference tree, and for each of its constant
     nodes the hash of the text. If all text is template, or no slot is left, the template is set aside.
@@ -272,12 +273,11 @@ def main_text(page: str, tree: str | None = None, constant: dict[int, int] | Non
     _containers(root, found)
     for leave_out in (fixed, set()) if fixed else (fixed,):
         for nodes in (found["article"], found["main"], [root]):
-            texts: list[list[str]] = []
+            texts: list[str] = []
             for n in nodes:
-                texts.append([])
-                _collect(n, leave_out, texts[-1])
-            if best := max(texts, key=lambda t: sum(map(len, t)), default=[]):
-                return "\n".join(best)
+                _collect(n, leave_out, texts)
+            if texts:
+                return "\n".join(texts)
     return ""
 
 

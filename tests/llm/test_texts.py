@@ -190,6 +190,16 @@ def test_pii_zero_parts_and_account_ends(spark):
     assert {texts[r.doc_id]: r.n_ip for r in rows if r.n_ip} == {t: 1 for t, s in cases.items() if s.startswith("ip")}
 
 
+def test_html_joins_all_containers():
+    assert html_text.main_text("<article><p>a</p><article>b</article></article><nav>x</nav><article>longer</article>") == "a\nb\nlonger"
+    assert html_text.main_text("<div class='post-title'>T</div><p>out</p><div class='entry-content'><p>long text</p></div>") == "T\nlong text"
+
+
+def test_html_joins_all_containers():
+    assert html_text.main_text("<article><p>a</p><article>b</article></article><nav>x</nav><article>longer</article>") == "a\nb\nlonger"
+    assert html_text.main_text("<div class='post-title'>T</div><p>out</p><div class='entry-content'><p>long text</p></div>") == "T\nlong text"
+
+
 def brute_secrets(text):
     spans = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
