@@ -213,3 +213,15 @@ def test_simulated_sessions_are_kept_whole(spark, small):
     out = E.simulate(sessions, base, Config(min_candidates=1)).collect()
     assert len(out) == sessions.count() == len({r.sample_id for r in out})
     assert all((r.first_hit_turn is not None) == r.hit and (not r.hit or 1 <= r.best_rank <= 10) for r in out)
+
+
+def test_latent_keeps_every_term(spark, monkeypatch):
+    from parlance.operators import dense
+
+    rows = [(f"d{i % 20}", f"t{i:05}", 1.0 + i % 7) for i in range(20_005)] + [("last", "zz", 500.0)]
+    matrix = spark.createDataFrame(rows, "doc string, token string, weight double")
+    docs, terms = dense.latent(matrix, 3)
+    assert terms.count() == 20_006 and "last" in {r.doc for r in docs.collect()}
+    monkeypatch.setattr(dense, "MOST_TERMS", 100)
+    with pytest.raises(ValueError, match="100 distinct terms"):
+        dense.latent(matrix, 3)
