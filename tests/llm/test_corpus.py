@@ -219,6 +219,72 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.query(table.limit(0)).count() == 0
 
 
+def brute_neighbours(rows, q_id, q, k=10):
+    """(distance, id) of the k nearest rows (id, vector) with another id and as many components."""
+    found = {}
+    for i, v in rows:
+        if i is not None and i != q_id and len(v) == len(q):
+            d = float(np.sqrt(((np.asarray(v, float) - np.asarray(q, float)) ** 2).sum()))
+            found[i] = min(d, found.get(i, np.inf))
+    return sorted((d, i) for i, d in found.items())[:k]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_in_many_cells_with_copies_and_other_lengths(spark, kind):
+    """Clusters in 32 cells: far cells are not asked. One vector has 400 copies; some vectors are shorter."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 6, (25, 24))
+    v = centres[rng.integers(0, 25, 1500)] + rng.normal(0, 0.4, (1500, 24))
+    rows = [(i, v[i].astype(np.float32).astype(float).tolist()) for i in range(1500)]
+    rows += [(2000 + i, rows[100][1]) for i in range(400)]
+    rows += [(3000 + i, rng.normal(0, 1, 6).astype(np.float32).astype(float).tolist()) for i in range(30)]
+    rows += [(4000, rows[7][1]), (4000, rows[8][1])]  # one id with two vectors
+    table = spark.createDataFrame([*rows, rows[100]], f"vec_id bigint, embedding array<{kind}>").repartition(4)
+    got = {}
+    for r in neighbours.nearest(table, shard_rows=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    asked = {i: q for i, q in rows if i % 100 == 0 and i != 4000}
+    assert set(got) == {*asked, 4000}
+    found = 0
+    for i, q in asked.items():
+        want = brute_neighbours(rows, i, q)
+        assert [x for _, x in got[i]] == [x for _, x in sorted(got[i])]
+        found += len({x for _, x in want} & {x for _, x in got[i]}) / len(want)
+    assert found / len(asked) >= 0.95
+    assert [x for _, x in got[100]] == list(range(2000, 2010)) and [x for _, x in got[2000]] == [100, *range(2001, 2010)]
+    assert all(x >= 3000 for _, x in got[3000]) and len(got[3000]) == 10
+
+
+def test_the_chi_square_stop_fires():
+    """Near uniform vectors: less than half of the rows are verified, and recall stays."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (8000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    shard, hit = neighbours.Shard(v, [[i] for i in range(len(v))], 24, 0.08, 11), 0
+    for i in range(0, 8000, 200):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        near = shard.search(i, v[i], 10, float("inf"))
+        assert all(abs(d[x] - s) < 1e-12 for s, x in near)
+        hit += len(set(np.argsort(d)[:10].tolist()) & {x for _, x in near})
+    share = shard.verified / 40 / len(v)
+    print(f"recall {hit / 400:.3f}, verified {share:.3f}")
+    assert hit / 400 >= 0.9 and share < 0.5
+
+
+def test_cells_and_boxes_agree():
+    rng = np.random.default_rng(7)
+    points = rng.normal(0, 1, (5000, 6))
+    cells = neighbours.Cells(points[:500], 5)
+    own = cells.of(points)
+    assert set(own.tolist()) == set(range(32))
+    assert ((points >= cells.low[own]) & (points <= cells.high[own])).all()
+    limit = np.full(40, 0.5)
+    i, c = cells.near(points[:40], limit)
+    want = {(a, int(own[b])) for a in range(40) for b in range(5000) if ((points[a] - points[b]) ** 2).sum() <= 0.5}
+    assert want <= set(zip(i.tolist(), c.tolist())) and len(i) < 40 * 32
+
+
 DOCS = [(i, "a b c " * (i % 7 + 1), ("en", "de", None)[i % 3 if i % 5 else 0], f"s{i % 4 if i % 3 else 0}") for i in range(300)]
 
 
