@@ -337,11 +337,96 @@ def test_pages(spark):
     assert html_text.query(pages.limit(0)).count() == 0
 
 
-def test_tree_matching_counts_the_best_alignment():
-    def slot(tree):
-        return html_text.Slot(tree, [0])
-
-    page = html_text.parse("<a1><x></x><y></y><z><k1></k1></z><w></w></a1>")
-    ref = slot(["#root", [["a1", [["y"], ["x"], ["z", [["k1"], ["k2"]]], ["w"]]]]])
-    out = {}
-    assert html_text.align(page, ref, out) == html_text.align(page, ref, None) == len(out) == 6
+def brute_matching(a, b):
+    """Simple tree matching by its definition, on (name, children) trees."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    return (rng.choice("xyz") if depth else "#root", [random_tree(rng, depth + 1) for _ in range(rng.choice((0, 1, 2, 3, 5)) if depth < 4 else 0)])
+
+
+def as_slots(tree):
+    slot = html_text.Slot(tree[0])
+    slot.children = [as_slots(c) for c in tree[1]]
+    return slot
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_tree_matching_equals_brute_force(monkeypatch, cells):
+    """Also where lists of children are halved to fit into memory."""
+    monkeypatch.setattr(html_text, "_CELLS", cells)
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = random_tree(rng), random_tree(rng)
+        shapes, x, y = html_text.Shapes(), as_slots(a), as_slots(b)
+        for number, (_, slot) in enumerate(html_text._preorder(y)):
+            slot.number = number
+        shapes.mark(x)
+        shapes.mark(y)
+        found = html_text.align(x, y, shapes)
+        assert len(found) == shapes.weight(x.shape, y.shape) == brute_matching(a, b)
+        of = {slot.number: slot.sig for _, slot in html_text._preorder(y)}
+        assert all(of[k] == n.sig for k, n in found.items())
+
+
+def test_trees_of_any_depth_and_width_are_matched():
+    deep = "<div>" * 20_000 + "x"
+    wide = "".join(f"<p>{'<i1></i1>' * (i % 7)}</p>" for i in range(3000))
+    for page, other in ((deep, deep + "<div>y"), (f"<td>{wide}", f"<td><h1></h1>{wide[5000:]}<h2></h2>{wide}")):
+        shapes = html_text._shapes()
+        a, b = html_text.parse(page), html_text.slots(html_text.skeleton(html_text.parse(other)))[0]
+        shapes.mark(a)
+        shapes.mark(b)
+        assert len(html_text.align(a, b, shapes)) == shapes.weight(a.shape, b.shape) >= 3000
+    assert html_text.main_text(deep) == "x"
+
+
+def test_references_take_up_what_other_pages_add():
+    trees = [html_text.skeleton(html_text.parse(p)) for p in ("<h1></h1><p></p><h2></h2>", "<h1></h1><p></p><h2></h2><h3></h3>", "<h1></h1><pre></pre><p></p>")]
+    sigs = [s.sig for s in html_text.slots(html_text.merged(trees))]
+    assert sigs == ["#root", "h1", "pre", "p", "h2", "h3"]
+
+
+UNNAMED = """<html><body><div class="k1"><div>menu {n}</div><div>entry {m}</div></div><div class="k2"><div class="k3 search-engine-news"><h1>Title {n}</h1>
+<p>Body of page {n}, {m} words long: {w}</p><p>About this site</p></div></div><div class="k4">advert {m}</div><div class="k5">all rights {n}</div></body></html>"""
+
+
+def unnamed_pages(n):
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    fill = lambda i: UNNAMED.replace("{n}", str(i)).replace("{m}", str(rng.randint(0, 99))).replace("{w}", " ".join(rng.choices(words, k=rng.randint(30, 60))))
+    return [(i, f"https://h.example/{i}", fill(i)) for i in range(n)]
+
+
+def test_the_wrapper_decides_where_names_say_nothing(spark):
+    """Menus, adverts and footers vary and have no telling names: only the wrapper finds the article."""
+    rows = unnamed_pages(20)
+    schema = "page_id bigint, url string, html string"
+    with_it = {r.page_id: r.text for r in html_text.query(spark.createDataFrame(rows, schema)).collect()}
+    alone = {r.page_id: r.text for r in html_text.query(spark.createDataFrame(rows[:4], schema)).collect()}
+    for i, _, page in rows:
+        body = re.search(r"<p>(Body[^<]*)</p>", page)[1]
+        assert with_it[i] == f"Title {i}\n{body}"
+        if i < 4:  # too few pages of the host: no wrapper
+            assert "menu" in alone[i] and "advert" in alone[i] and body in alone[i]
+
+
+def test_every_article_of_a_page_stays(spark):
+    page = "<body><nav>n {n}</nav><article><h1>A {n}</h1><p>long {n} text of many words, many more than the other has</p></article><article><p>B {n}</p></article><div class=comments><p>c {n}</p></div></body>"
+    rows = [(i, f"https://h/{i}", page.replace("{n}", str(i))) for i in range(9)]
+    for r in html_text.query(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect():
+        assert r.text == f"A {r.page_id}\nlong {r.page_id} text of many words, many more than the other has\nB {r.page_id}"
+
+
+def test_names_of_parts():
+    for name in ("comments", "comment-list", "ad", "ad-slot", "main-nav", "newsletter_signup", "cookie-notice", "share"):
+        assert html_text._names_aside(name), name
+    for name in ("search-engine-news", "story", "related-work", "notice-of-meeting", "adventure", "shared-memory", "entry-content"):
+        assert not html_text._names_aside(name), name
