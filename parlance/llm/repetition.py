@@ -20,16 +20,14 @@ _BASE = np.uint64(0x100000001B3)
 class Limits:
     """A text that exceeds one of these is not kept. Shares are of the characters in words."""
 
-    #: Those of the MassiveText quality rules (Rae et al., 2021, table A1), with two
-    #: changes, as one repeated sentence takes a short text beyond them and labels call such texts
-    #: good: the shares for duplicated n-grams are doubled, and a top n-gram counts from its third
-    #: occurrence.
+    #: Those of the MassiveText quality rules (Rae et al., 2021, table A1).
+    duplicate_line_share: float = 0.30
     duplicate_line_chars: float = 0.20
     top_ngram: tuple[tuple[int, float], ...] = ((2, 0.20), (3, 0.18), (4, 0.16))
     duplicate_ngram: tuple[tuple[int, float], ...] = (
-        (5, 0.30), (6, 0.28), (7, 0.26), (8, 0.24), (9, 0.22), (10, 0.20),
+        (5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10),
     )
-    top_least: int = 3
+    #: An extra beside the method: symbols to a word (the same rules have it for # and ellipses).
     symbols_per_word: float = 0.10
     #: The base rules, which the contract of query op5 fixes.
     min_words: int = 50
@@ -60,9 +58,10 @@ def measure(text: str | None, limits: Limits = Limits()) -> tuple:
     word_chars = len(text) - sum(map(text.count, _BLANKS))
     symbols = sum(map(text.count, _SYMBOLS))
     seen: set[str] = set()
-    dup_lines = dup_line_chars = 0
+    lines = dup_lines = dup_line_chars = 0
     for line in text.split("\n"):
         if bare := line.strip(_BLANKS):
+            lines += 1
             if line in seen:
                 dup_lines += 1
                 dup_line_chars += len(bare) - sum(map(bare.count, _BLANKS))
@@ -77,8 +76,11 @@ def measure(text: str | None, limits: Limits = Limits()) -> tuple:
         repeat_words = int(_covered(twice, 3, n).sum()) if len(twice) else 0
     base_failed = n < limits.min_words or repeat_words > limits.repeat_word_share * n
     worst_top = worst_dup = 0.0
-    kept = not base_failed and dup_line_chars <= limits.duplicate_line_chars * max(word_chars, 1)
-    kept = kept and symbols <= limits.symbols_per_word * n
+    refused = []
+    if dup_lines > limits.duplicate_line_share * lines:
+        refused.append("lines")
+    if dup_line_chars > limits.duplicate_line_chars * word_chars:
+        refused.append("line_chars")
     if n > 2 and word_chars:
         sizes = np.array([len(w.decode()) if not w.isascii() else len(w) for w in number], np.int64)[ids]
         # One random-looking odd number for each distinct word; windows are hashed by rolling.
@@ -101,17 +103,21 @@ def measure(text: str | None, limits: Limits = Limits()) -> tuple:
                 first = np.flatnonzero(np.concatenate([[True], ~same]))
                 counts = np.diff(np.append(first, len(ranked)))
                 at = order[first]
-                chars = (length[at + width] - length[at]) * counts * (counts >= limits.top_least)
+                chars = (length[at + width] - length[at]) * counts * (counts > 1)
                 share = min(1.0, float(chars.max()) / word_chars)
                 worst_top = max(worst_top, share)
-                kept = kept and share <= top[width]
+                if share > top[width]:
+                    refused.append(f"top_{width}")
             if width in dup:
                 share = float(sizes[_covered(order[1:][same], width, n)].sum()) / word_chars
                 worst_dup = max(worst_dup, share)
-                kept = kept and share <= dup[width]
+                if share > dup[width]:
+                    refused.append(f"ngram_{width}")
+    if symbols > limits.symbols_per_word * n:
+        refused.append("symbols")
     return (
-        n, word_chars, symbols, dup_lines, repeat_words, base_failed, bool(kept),
-        dup_line_chars / max(word_chars, 1), worst_top, worst_dup,
+        n, word_chars, symbols, dup_lines, repeat_words, base_failed, not base_failed and not refused,
+        dup_line_chars / max(word_chars, 1), worst_top, worst_dup, ",".join(refused),
     )
 
 
@@ -120,7 +126,7 @@ _COLUMNS = (
     ("n_dup_lines", pa.int64(), "long"), ("n_repeat_words", pa.int64(), "long"),
     ("base_failed", pa.bool_(), "boolean"), ("kept", pa.bool_(), "boolean"),
     ("dup_line_share", pa.float64(), "double"), ("top_ngram_share", pa.float64(), "double"),
-    ("dup_ngram_share", pa.float64(), "double"),
+    ("dup_ngram_share", pa.float64(), "double"), ("refused", pa.string(), "string"),
 )
 
 
@@ -129,10 +135,11 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal
     an earlier line), n_repeat_words (words in three-word windows found twice or more), base_failed;
-    dup_line_share (characters of repeated lines), top_ngram_share (largest share of one n-gram
-    found three times or more, n = 2-4), dup_ngram_share (largest share of characters in n-grams that occurred before, n = 5-10);
-    kept: base_failed is false and no share is beyond ``limits``. A null text has no words, so it fails.
-    Null doc_ids and repeated rows stay. Columns other than doc_id and text are not read.
+    dup_line_share (characters of repeated lines), top_ngram_share (largest share of one repeated n-gram,
+    all its occurrences, n = 2-4), dup_ngram_share (largest share of characters in n-grams that occurred
+    before, n = 5-10); refused: the measures beyond ``limits``, comma-joined; kept: base_failed is false and
+    refused is empty. A null text has no words, so it fails. Null doc_ids and repeated rows stay. Columns
+    other than doc_id and text are not read. An empty table gives an empty result.
     """
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -119,6 +119,39 @@ def test_repetition_base_equals_brute_force(text):
     assert repetition.measure(text)[:6] == brute_repetition(text)
 
 
+def brute_refused(text):
+    """The measures beyond the limits, each by its definition."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    size, lines = sum(map(len, words)), [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    chars = sum(len(w) for x in again for w in re.findall(r"[^\x20\x09-\x0D]+", x))
+    out = ["lines"] * (len(again) > 0.30 * len(lines)) + ["line_chars"] * (chars > 0.20 * size)
+    for n, most in ((2, 0.20), (3, 0.18), (4, 0.16), (5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10)):
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        if n <= 4:
+            share = max((sum(map(len, g)) * grams.count(g) / size for g in set(grams) if grams.count(g) > 1), default=0)
+        else:
+            share = sum(len(words[j]) for j in {j for i, g in enumerate(grams) if g in grams[:i] for j in range(i, i + n)}) / max(size, 1)
+        if min(share, 1) > most:
+            out.append(f"{'top' if n <= 4 else 'ngram'}_{n}")
+    return [*out, *["symbols"] * (sum(c in "#*$%&|<>" for c in text) > 0.10 * len(words))]
+
+
+def test_repetition_verdict_equals_brute_force():
+    rng, seen = random.Random(12), set()
+    for _ in range(300):
+        vocabulary = [f"é{i}" if i % 3 else f"word{i}" for i in range(rng.choice((8, 60, 400)))]
+        parts = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 30))] for _ in range(rng.randint(1, 8))]
+        lines = [" ".join(rng.choice(parts) if rng.random() < 0.5 else [rng.choice(vocabulary) for _ in range(12)]) for _ in range(rng.randint(1, 12))]
+        text = "\n".join(lines) + rng.choice(("", "", " #%&" * 6))
+        made = repetition.measure(text)
+        want = brute_refused(text)
+        assert made[-1].split(",") == (want or [""]), text
+        assert made[6] == (not made[5] and not want)
+        seen.update(want)
+    assert len(seen) == 12
+
+
 def test_repetition_query(spark, odd_docs):
     rows = repetition.query(odd_docs).collect()
     assert len(rows) == len(ODD) + 3
