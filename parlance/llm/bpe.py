@@ -180,10 +180,11 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` (binary).
 
-    One row per row; all columns stay, and columns of these three names are replaced. A null text
-    counts as empty and has no ids. ``vocabulary`` is a local path, the same on every executor.
+    One row per row, repeated rows too; all columns stay, and columns of these three names, in capitals or
+    not, are replaced. A null text counts as empty and has no ids. An empty table gives an empty result.
+    ``vocabulary`` is a local path, the same on every executor.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")]
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocabulary)
@@ -194,8 +195,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
             [batch.column(k) for k in kept] + made, [*kept, "ids", "n_tokens", "decoded"]
         )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
-    return per_batch(docs.select(kept), over, f"{schema}, ids binary, n_tokens long, decoded binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select([f"`{c}`" for c in kept]).schema)
+    return per_batch(docs.select([f"`{c}`" for c in kept]), over, f"{schema}, ids binary, n_tokens long, decoded binary")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch. Texts reach 100,000 characters and more, so Spark's default of
 #: 10,000 rows could put a gigabyte into a Python worker at once.
@@ -21,16 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
+    """The folder that all executors and the driver share, as ``spark.checkpoint.dir`` names it.
 
-    Read from ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary folder is
-    made, and it is then also the checkpoint folder.
+    Only in local mode may it be unset: a temporary folder then stands in for it, and is taken away at the
+    end. Elsewhere that would be some machine's own folder, so a ValueError is raised.
     """
     sc = spark.sparkContext
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     own = sc._jsc.sc().getCheckpointDir()
     if not own.isDefined():
-        sc.setCheckpointDir(set_by_cluster or tempfile.mkdtemp(prefix="parlance-"))
+        if not set_by_cluster and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not set_by_cluster:
+            atexit.register(shutil.rmtree, made := tempfile.mkdtemp(prefix="parlance-"), ignore_errors=True)
+        sc.setCheckpointDir(set_by_cluster or made)
         own = sc._jsc.sc().getCheckpointDir()
     return set_by_cluster or own.get()
 
@@ -53,7 +60,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a folder that ``written`` or ``fresh_path`` made out of the shared folder again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """Map small Arrow batches; a lost executor only repeats its own partitions."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 

@@ -1,29 +1,38 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Token totals of the cells (source, language, topic) are raked until their sums over each dimension
-meet its target shares. A document's weight is that of its cell; its sampling probability is the
-weight scaled so that the heaviest cell is taken whole, so no probability is capped and the expected
-token shares are exactly the raked ones. That way the rarest cell decides how much is kept; with
-``Targets.least`` a share of all tokens is kept at least: the weights are scaled up until the rest makes
-up for the cells that are taken whole, and ``deviation`` tells how far the shares then are from the
-raked ones. Draws are hashes of the ids: the same on any cluster, and
-after any executor is lost.
+meet its target shares. Topics are learnt from the corpus: its key words are the ``Topics.words`` most
+frequent of those that stand in a middling share of all documents, and a document's topic is the key
+word that it uses most for how common it is. A document's weight is that of its cell; its sampling
+probability is the weight scaled so that the heaviest cell is taken whole, so no probability is capped
+and the expected token shares are exactly the raked ones. That way the rarest cell decides how much is
+kept; with ``Targets.least`` a share of all tokens is kept at least: the weights are scaled up until the
+rest makes up for the cells that are taken whole, and ``deviation`` tells how far the shares then are from
+the raked ones. Draws are hashes of the ids: the same on any cluster, and after any executor is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from parlance.llm.common import checkpointed
+from parlance.llm.common import BATCH_ROWS, checkpointed, per_batch
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells that are raked on the driver and broadcast at most: under 20 MB. More are raked as a table.
 MAX_CELLS = 100_000
-_WORD = r"[^\x20\x09-\x0D]+"
+_WORD, _KEY_WORD = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D.,;:!?]+"
+_POINTS = bytes.maketrans(b".,;:!?", b" " * 6)
+#: The topic of a document without a key word; no word has a space.
+NO_TOPIC = "no topic"
+#: Words that a task counts before it passes them on.
+_HELD = 300_000
 
 
 @dataclass(frozen=True)
@@ -35,32 +44,77 @@ class Targets:
     present share of what is left. ``least``: the share of all tokens to keep, or more (in expectation).
     """
 
-    power: dict[str, float] = field(default_factory=lambda: {"source": 0.8, "lang": 0.8, "topic": 1.0})
+    power: dict[str, float] = field(default_factory=lambda: {"source": 0.8, "lang": 0.8, "topic": 0.8})
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
     rounds: int = 12
     seed: str = "mix-1"
     least: float = 0.0
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic from the whole text, by marks that need no model."""
-    return (
-        F.when(F.contains(text, F.lit("icense")), "legal")
-        .when(F.contains(text, F.lit("@")), "contact")
-        .when(F.contains(text, F.lit(" | ")), "listing")
-        .otherwise("prose")
-    )
+@dataclass(frozen=True)
+class Topics:
+    """Key words: so many, each in at least one of ``rarest`` documents and at most one of ``commonest``."""
+
+    words: int = 64
+    rarest: int = 200
+    commonest: int = 20
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns _source, _lang, _topic and _tokens (words between white space)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns(
-        {
-            "_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": topic(text),
-            "_tokens": F.regexp_count(text, F.lit(_WORD)).cast("long"),
-        }
+def key_words(docs: DataFrame, topics: Topics = Topics()) -> dict[bytes, int]:
+    """The key words of ``docs(text)`` and the number of documents that hold each, over all documents.
+
+    Each task counts its own documents first; what meets in the shuffle is one row a task and word.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+
+        def out() -> pa.RecordBatch:
+            made = [pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for w in set((text or "").encode().translate(_POINTS).split()):
+                    held[w] = held.get(w, 0) + 1
+            if len(held) > _HELD:
+                yield out()
+        if held:
+            yield out()
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    every = docs.count()
+    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    found = seen.groupBy("word").agg(F.sum("n").alias("n"))
+    band = found.where((F.col("n") * topics.rarest >= every) & (F.col("n") * topics.commonest <= every))
+    return {r.word.encode(): r.n for r in band.orderBy(F.desc("n"), "word").limit(topics.words).collect()}
+
+
+def described(text: str | None, words: dict[bytes, int]) -> tuple[str, int]:
+    """(topic, tokens) of a text: the key word with the most uses over its documents, ties to the smaller; and the
+    words between white space."""
+    raw, uses = (text or "").encode(), {}
+    for w in filter(words.__contains__, raw.translate(_POINTS).split()):
+        uses[w] = uses.get(w, 0) + 1
+    best = min(uses, key=lambda w: (-(uses[w] / words[w]), w), default=None)
+    return (NO_TOPIC if best is None else best.decode()), len(raw.split())
+
+
+def _cells_of(docs: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """``docs(doc_id, text, lang, source)`` -> (doc_id, _source, _lang, _topic, _tokens), one row per row."""
+
+    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
+        topic, tokens = zip(*(described(t, words) for t in batch.column("text").to_pylist()))
+        made = [pa.array(topic, pa.string()), pa.array(tokens, pa.int64())]
+        kept = [batch.column(c) for c in ("doc_id", "_source", "_lang")]
+        return pa.RecordBatch.from_arrays(kept + made, ["doc_id", "_source", "_lang", "_topic", "_tokens"])
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"),
+        F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("text"),
     )
+    return per_batch(rows, over, "doc_id long, _source string, _lang string, _topic string, _tokens long")
 
 
 def _targets(values: list, totals: np.ndarray, dimension: str, targets: Targets) -> np.ndarray:
@@ -188,9 +242,8 @@ def cell_weights(rows: DataFrame, targets: Targets, max_cells: int = MAX_CELLS)
     return F.broadcast(spark.createDataFrame(made, schema))
 
 
-def _weighted(docs: DataFrame, targets: Targets, max_cells: int) -> DataFrame:
-    rows = described(docs)
-    cells = cell_weights(rows, targets, max_cells)
+def _weighted(rows: DataFrame, cells: DataFrame, targets: Targets) -> DataFrame:
+    """``rows(doc_id, _source, _lang, _topic)`` with _weight, _probability and _sampled."""
     names = [f"_{d}" for d in DIMENSIONS]
     cells = cells.withColumnsRenamed({n: f"{n}_cell" for n in names})
     met = [F.col(n).eqNullSafe(F.col(f"{n}_cell")) for n in names]
@@ -201,30 +254,49 @@ def _weighted(docs: DataFrame, targets: Targets, max_cells: int) -> DataFrame:
     return rows.join(cells, met[0] & met[1] & met[2]).withColumn("_sampled", draw < F.col("_probability"))
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS, topics: Topics = Topics()) -> DataFrame:
     """``docs(doc_id, text, lang, source)`` -> one row per row with its weight and whether it is drawn.
 
     doc_id, source, lang, topic, n_tokens, weight, probability, sampled. A null source or language is a
-    value of its own; a null text has no tokens and topic prose. Rows of one doc_id share their draw;
-    all null ids share one. Without tokens all weights are 1. Columns of other names are not read.
+    value of its own; a null or empty text has no tokens and NO_TOPIC. Rows of one doc_id share their draw;
+    all null ids share one. Without tokens all weights are 1. Columns of other names are not read. An empty
+    table gives an empty result.
     """
-    return _weighted(docs.select("doc_id", "text", "lang", "source"), targets, max_cells).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"),
-        F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"),
+    rows = checkpointed(_cells_of(docs, key_words(docs, topics)))
+    return _weighted(rows, cell_weights(rows, targets, max_cells), targets).select(
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"),
         F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
     )
 
 
-def sampled(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS) -> DataFrame:
-    """The rows of ``docs`` that are drawn, all columns kept."""
-    return _weighted(docs, targets, max_cells).where("_sampled").select(*(f"`{c}`" for c in docs.columns))
+def sampled(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS, topics: Topics = Topics()) -> DataFrame:
+    """The rows of ``docs`` that are drawn, all columns kept, whatever their names. Nulls and repeats as in ``mix``."""
+    words = key_words(docs, topics)
+    cells = cell_weights(checkpointed(_cells_of(docs, words)), targets, max_cells)
+    names = [n.lower() for n in docs.columns]
+    place = {n: names.index(n) for n in ("doc_id", "text", "lang", "source")}
+
+    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = batch.column("row")
+        topic = [described(t, words)[0] for t in row.field(place["text"]).to_pylist()]
+        return pa.RecordBatch.from_arrays([row, pa.array(topic, pa.string())], ["row", "_topic"])
+
+    # The whole row travels as one struct, so no name of its columns can clash.
+    schema = StructType([StructField("row", docs.schema), StructField("_topic", StringType())])
+    rows = per_batch(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")), over, schema)
+    own = {n: F.col("row")[docs.columns[place[n]]] for n in ("doc_id", "lang", "source")}
+    rows = rows.select(
+        "row", own["doc_id"].cast("long").alias("doc_id"), own["source"].cast("string").alias("_source"), own["lang"].cast("string").alias("_lang"), "_topic"
+    )
+    return _weighted(rows, cells, targets).where("_sampled").select("row.*")
 
 
-def deviation(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS) -> DataFrame:
+def deviation(docs: DataFrame, targets: Targets = Targets(), max_cells: int = MAX_CELLS, topics: Topics = Topics()) -> DataFrame:
     """One row: kept_docs and kept_tokens, the expected shares that are drawn, and moved, the share of the drawn
     tokens that is in other cells than by the raked weights (0 without ``Targets.least``)."""
-    rows = _weighted(docs, targets, max_cells)
-    cells = rows.groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(
+    rows = checkpointed(_cells_of(docs, key_words(docs, topics)))
+    cells = _weighted(rows, cell_weights(rows, targets, max_cells), targets).groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(
         F.count("*").alias("docs"), F.sum("_tokens").alias("t"), F.first("_weight").alias("w"), F.first("_probability").alias("p")
     )
     sums = cells.agg(F.sum(F.col("t") * F.col("w")).alias("tw"), F.sum(F.col("t") * F.col("p")).alias("tp"))
@@ -240,12 +312,17 @@ def query(docs: DataFrame) -> DataFrame:
     return mix(docs)
 
 
-def _oracle(targets: Targets = Targets()) -> str:
+def _oracle(targets: Targets = Targets(), topics: Topics = Topics()) -> str:
     """The same rows in SQL, every raking step a common table of its own."""
     steps = [
-        "d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(text, 'icense') THEN 'legal' "
-        "WHEN contains(text, '@') THEN 'contact' WHEN contains(text, ' | ') THEN 'listing' ELSE 'prose' END AS topic, "
-        f"coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS n FROM documents)",
+        "d0 AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text FROM documents)",
+        f"tf AS MATERIALIZED (SELECT r, word, count(*) AS uses FROM (SELECT r, unnest(regexp_extract_all(text, '{_KEY_WORD}')) AS word FROM d0) GROUP BY ALL)",
+        "key AS MATERIALIZED (SELECT word, count(*) AS docs FROM tf GROUP BY 1 "
+        f"HAVING count(*) * {topics.rarest} >= (SELECT count(*) FROM d0) AND count(*) * {topics.commonest} <= (SELECT count(*) FROM d0) "
+        f"ORDER BY docs DESC, word LIMIT {topics.words})",
+        "best AS (SELECT r, word AS topic FROM tf JOIN key USING (word) QUALIFY row_number() OVER (PARTITION BY r ORDER BY uses::DOUBLE / docs DESC, word) = 1)",
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(topic, '{NO_TOPIC}') AS topic, "
+        f"coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS n FROM d0 LEFT JOIN best USING (r))",
         "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS t, 1.0::DOUBLE AS w FROM d GROUP BY ALL)",
     ]
     for dim in DIMENSIONS:

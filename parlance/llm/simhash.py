@@ -38,6 +38,7 @@ from parlance.llm.components import connected_components
 
 SHARD_ROWS = 50_000
 _CHUNK = 65_536
+_SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -220,20 +221,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
 def _components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows(doc_id, text_hash, fp)`` with component_id and keep_hash, from links between values of fp."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(edges)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    # What has no link is its own part. A part may hold very many values of fp, so its rows are dealt out over
+    # _SALTS tasks; what is joined to them is one row a part and task.
+    linked = checkpointed(connected_components(edges))
+    salt = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(_SALTS)).cast("int").alias("salt")
+    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp").select("fp", "first", "root", salt)
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = checkpointed(named.join(ids, "root").select("fp", "root", "component_id"))
+    dealt = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    parts = named.join(dealt, ["root", "salt"]).select("fp", "root", "component_id")
+    of_fp = checkpointed(
+        distinct.join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    )
     keep = (
         rows.join(of_fp, "fp")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root")
         .agg(F.min("text_hash").alias("keep_hash"))
     )
-    of_fp = of_fp.join(keep, "root", "left").drop("root")
-    return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
+    again = keep.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    of_fp = of_fp.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(_SALTS)).cast("int")).join(again, ["root", "salt"], "left")
+    return rows.join(of_fp.drop("root", "salt"), "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
 
 
 #: MinHash values in a key, and how surely a pair at the limit shares a key.
@@ -324,17 +331,6 @@ class Confirmed:
             self.met.setdefault(h, {}).setdefault(part, []).append(x)
 
 
-def differing_share(similarity: float) -> float:
-    """The expected share of bits in which SimHashes of two sets of that Jaccard similarity differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampling(count: int, share: float, recall: float = 0.95, per_bucket: int = 256) -> tuple[int, int]:
-    """(bits in a key, keys): with these a pair that differs in ``share`` of its bits meets with ``recall``."""
-    bits = min(56, max(12, math.ceil(math.log2(max(1, count) / per_bucket))))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
-
-
 def confirmed_links(docs: DataFrame, made: DataFrame, width: int, similarity: float, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
     """``made(doc_id, text_hash, fp, n, keys)`` of ``docs`` -> ``(a, b)`` of fp: links that connect what exact
     comparison connects, among sets that shared keys connect.
@@ -410,30 +406,25 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near copies, all columns kept.
+    """``docs`` with one row of each group of near copies, all columns kept, whatever their names.
 
-    The row with the least doc_id stays; among rows that share it, the one with the least text hash.
+    The row with the least doc_id stays (a null one if there is no other); among rows that share it, the one
+    with the least text hash; of repeated rows one. Null and empty texts have no shingles and are copies of
+    each other. An empty table gives an empty result.
     """
-    keys = ["__near_id", "__near_null", "__near_hash"]
+    keys = ["id", "no_id", "hash"]
     one = near_copies(docs, width, similarity).where(
         F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))
     )
     # Plain equalities on three columns: the join leaves the rows dealt out and sorted as the last
     # step needs them, so the texts are shuffled once.
-    kept = one.select(
-        F.coalesce("doc_id", F.lit(0)).alias(keys[0]),
-        F.col("doc_id").isNull().alias(keys[1]),
-        F.col("text_hash").alias(keys[2]),
-    ).distinct()
+    kept = one.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_hash").alias("hash")).distinct()
     doc_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumns(
-        {
-            keys[0]: F.coalesce(doc_id, F.lit(0)),
-            keys[1]: doc_id.isNull(),
-            keys[2]: F.xxhash64(F.coalesce("text", F.lit(""))),
-        }
-    )
-    return keyed.join(kept, keys).dropDuplicates(keys).select(*(f"`{c}`" for c in docs.columns))
+    keyed = docs.select(
+        F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"),  # one struct, so no name can clash
+        F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+    )
+    return keyed.join(kept, keys).dropDuplicates(keys).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

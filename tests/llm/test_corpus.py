@@ -98,8 +98,8 @@ def test_links_in_shards_connect_the_same(spark, shard_rows):
 def test_block_count_follows_the_input():
     assert simhash.blocks_for(1000, 3) == 4
     assert simhash.blocks_for(10**9, 3) > 4
-    bits, tables = simhash.sampling(10**7, simhash.differing_share(0.8))
-    assert 1 - (1 - (1 - simhash.differing_share(0.8)) ** bits) ** tables >= 0.95
+    keys = simhash.keys_for(0.8)
+    assert 1 - (1 - 0.8**simhash.KEY_VALUES) ** keys >= simhash.KEY_RECALL
 
 
 def test_near_copies_by_similarity(spark):
@@ -332,6 +332,89 @@ def test_scale_reaches_the_share():
             assert (t * p).sum() == pytest.approx(max(free, least * t.sum()))
 
 
+def test_topics_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: rng.randint(1, 60)]) + rng.choice(("", ".", ",")) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    rows += [(500, None), (501, ""), (502, " \t.,"), rows[0]]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    bags = [[w for w in (t or "").translate(str.maketrans(".,;:!?", " " * 6)).split()] for _, t in rows]
+    held = {w: sum(w in b for b in bags) for w in words}
+    band = sorted((w for w in words if held[w] * 200 >= len(rows) and held[w] * 20 <= len(rows)), key=lambda w: (-held[w], w))
+    topics = mixing.Topics(words=10)
+    assert mixing.key_words(docs, topics) == {w.encode(): held[w] for w in band[:10]} and len(band) > 10
+    want = sorted(
+        (i, min((w for w in b if w in band[:10]), key=lambda w: (-(b.count(w) / held[w]), w), default=mixing.NO_TOPIC)) for (i, _), b in zip(rows, bags)
+    )
+    assert sorted((r.doc_id, r.topic) for r in mixing.mix(docs, topics=topics).collect()) == want
+    assert len({t for _, t in want}) > 5
+
+
+CLASHES = (
+    "_tokens", "_source", "_lang", "_topic", "_sampled", "_weight", "_probability", "_lang_cell", "row", "IDS", "N_Tokens", "decoded",
+    "__near_id", "id", "no_id", "hash", "fp", "root", "salt", "spans", "score", "held_out", "text_hash", "component_id", "keep_hash", "cell", "h",
+)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, columns with names that operators use."""
+    long = " ".join(f"word{i % 9000}" for i in range(60_000))
+    rows = [
+        (1, "a plain text of some words that is kept", "en", "s1", 39), (1, "a plain text of some words that is kept", "en", "s1", 39),
+        (2, None, "en", "s1", None), (3, "", None, None, 0), (None, "no id at all but words", "de", "s2", 22), (None, None, None, None, None),
+        (4, long, "en", "s1", len(long)), (5, "tie one", "en", "s2", 7), (5, "tie two", "en", "s2", 7), (6, "x" * 100_000, "fr", "s3", 100_000),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for i, name in enumerate(CLASHES):
+        df = df.withColumn(name, F.lit(f"own {i}"))
+    return df.withColumn("nested", F.struct(F.lit(1).alias("text"))).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd_labels(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    rows = [(1, 1, 0), (2, None, None), (None, 0, 1), (4, 1, 0), (5, 0, 0), (5, 0, 1)]
+    spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def _plain(rows):
+    return sorted((r.asDict(recursive=True) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near copies", "secrets", "mixing", "encoding"])
+def test_every_stage_takes_odd_rows_and_empty_tables(spark, odd, odd_labels, name):
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)[name]
+    out = stage(spark, odd, odd_labels)
+    got, given = out.collect(), odd.collect()
+    if name != "encoding":
+        assert out.columns == odd.columns
+        assert all(r[f] == v for r in got for f, v in ((c, f"own {i}") for i, c in enumerate(CLASHES)))
+    if name in ("toxicity", "secrets"):
+        assert _plain(got) == _plain(given)  # nothing is toxic or secret
+    elif name == "near copies":  # the null and empty texts are one group, repeated rows another
+        assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None and r.text) == sorted({(r.doc_id, r.text) for r in given if r.doc_id is not None and r.text})
+        assert [(r.doc_id, r.text) for r in got if not r.text] == [(2, None)]
+        assert [r.text for r in got if r.doc_id is None] == ["no id at all but words"]
+    elif name == "mixing":
+        assert {str(r) for r in got} <= {str(r) for r in given}
+    else:
+        assert len(got) == len(given) and all(r.round_trip for r in got)
+    assert stage(spark, odd.limit(0), odd_labels).count() == 0
+
+
+def test_operators_take_odd_rows(spark, odd):
+    from parlance.llm import bpe, pii, repetition, secrets, token_counts, toxicity
+
+    for query in (bpe.query, pii.query, repetition.query, secrets.query, token_counts.query, simhash.query, mixing.query):
+        assert query(odd).count() == odd.count() and query(odd.limit(0)).count() == 0
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert toxicity.query(odd, none).count() == odd.count()
+
+
 def test_pipeline_keeps_clean_documents_and_columns(spark, small):
     import corpus_pipeline as P
 
