@@ -5,7 +5,8 @@ toxic documents and next to no clean one, by a likelihood-ratio test, marks its
 documents. The field is then trained on these labelled tokens: emissions from a token's word and its
 prefixes, and transitions between neighbouring labels. Forward-backward gives every token's marginal
 probability; a document's score is a calibrated function of its marginals, and tokens that are likelier
-toxic than not are returned as offsets.
+toxic than not are returned as offsets. The calibration is fitted on documents that the field at hand
+has not seen: the sample is cut into folds, and each is scored by a field trained on the others.
 
 Training takes a bounded sample of labelled rows (``Sample``); scoring reads every text whole.
 """
@@ -15,14 +16,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import held_out, per_batch
+from parlance.llm.common import checkpointed, held_out, per_batch
 
 TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -34,13 +36,15 @@ _STREAM = 400_000
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound on labelled rows for training: so many of each label, of at most so many characters.
+    """The bound on labelled rows for training: so many of each label, of at most so many characters, and so many
+    clean ones in all to tell the words of toxic texts from others.
 
-    The rows are those with the least hashes of their ids. At most 2 * per_label * max_chars
-    characters (32 million with these values) reach the driver, at any size of the input.
+    The rows are those with the least hashes of their ids. At most (per_label + clean) * max_chars
+    characters (80 million with these values) reach the driver, at any size of the input.
     """
 
     per_label: int = 800
+    clean: int = 3200
     max_chars: int = 20_000
 
 
@@ -112,23 +116,61 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, transition: np.nda
     return both[:, 1] / both.sum(axis=1), alpha, beta
 
 
-def _telling(texts: list[list[str]], labels: np.ndarray, least: float = 20.0) -> set[str]:
-    """Features of toxic documents: likelihood ratio of at least ``least``, a tenth as common in clean ones."""
-    toxic, clean = Counter(), Counter()
-    for tokens, y in zip(texts, labels, strict=True):
-        (toxic if y else clean).update({f for t in set(tokens) for f in features(t)})
-    n1, n0 = float(labels.sum()), float(len(labels) - labels.sum())
-    out = set()
-    for f, k1 in toxic.items():
-        k0 = clean[f]
-        if k1 < 3 or k0 * n1 > 0.1 * k1 * n0:
-            continue
-        rate = (k1 + k0) / (n1 + n0)
-        ratio = 2 * (k1 * np.log(k1 / n1 / rate) + (k0 * np.log(k0 / n0 / rate) if k0 else 0))
-        ratio += 2 * ((n1 - k1) * np.log(max(1e-12, (1 - k1 / n1) / (1 - rate))) + (n0 - k0) * np.log((1 - k0 / n0) / (1 - rate)))
-        if ratio >= least:
-            out.add(f)
-    return out
+class _Telling:
+    """Which features tell toxic documents from clean ones, counted once for every choice of folds.
+
+    A feature is taken with a likelihood ratio of at least ``least``, if it is a tenth as common in clean
+    documents. A toxic document counts only if the feature stands between neighbours (two words on either side)
+    that it had in none before: the words of a text or passage that is copied from one toxic document to
+    others always stand between the same words.
+    """
+
+    def __init__(self, documents: list[list[str]], labels: np.ndarray, fold: np.ndarray, least: float = 20.0) -> None:
+        self.documents, self.labels, self.fold, self.least = documents, labels, fold, least
+        self.of: dict[str, list[str]] = {}
+        self.seen: dict[tuple[int, int], Counter] = {}
+        for tokens, y, k in zip(documents, labels.tolist(), fold.tolist(), strict=True):
+            self.seen.setdefault((k, y), Counter()).update({f for t in set(tokens) for f in self.features(t)})
+
+    def features(self, token: str) -> list[str]:
+        out = self.of.get(token)
+        if out is None:
+            out = self.of[token] = features(token)
+        return out
+
+    def without(self, left_out: int | None) -> set[str]:
+        """The telling features of all documents but those of one fold."""
+        rows = np.ones(len(self.fold), bool) if left_out is None else self.fold != left_out
+        toxic, clean = Counter(), Counter()
+        for (k, y), counts in self.seen.items():
+            if k != left_out:
+                (toxic if y else clean).update(counts)
+        n1 = float(self.labels[rows].sum())
+        n0 = float(rows.sum()) - n1
+
+        def passes(f: str, k1: int) -> bool:
+            k0 = clean[f]
+            if k1 < 3 or k0 * n1 > 0.1 * k1 * n0:
+                return False
+            rate = (k1 + k0) / (n1 + n0)
+            ratio = 2 * (k1 * np.log(k1 / n1 / rate) + (k0 * np.log(k0 / n0 / rate) if k0 else 0))
+            ratio += 2 * ((n1 - k1) * np.log(max(1e-12, (1 - k1 / n1) / (1 - rate))) + (n0 - k0) * np.log((1 - k0 / n0) / (1 - rate)))
+            return ratio >= self.least
+
+        lefts: dict[str, set[tuple[str, str]]] = {f: set() for f, k1 in toxic.items() if k1 > 2 and passes(f, k1)}
+        rights: dict[str, set[tuple[str, str]]] = {f: set() for f in lefts}
+        held = Counter()
+        for i in np.flatnonzero(rows & (self.labels == 1)).tolist():
+            around, found = ["", "", *(t.lower() for t in self.documents[i]), "", ""], {}
+            for at, t in enumerate(self.documents[i]):
+                for f in self.features(t):
+                    if f in lefts:
+                        found.setdefault(f, []).append((tuple(around[at : at + 2]), tuple(around[at + 3 : at + 5])))
+            for f, places in found.items():
+                held[f] += any(x not in lefts[f] and y not in rights[f] for x, y in places)
+                lefts[f].update(x for x, _ in places)
+                rights[f].update(y for _, y in places)
+        return {f for f in lefts if passes(f, held[f])}
 
 
 def _summary(marginal: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -140,26 +182,33 @@ def _summary(marginal: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return np.stack([np.log1p(total), np.log1p(1000 * total / (lengths + 100))], axis=1)
 
 
-def train(texts: list[str], labels: Iterable[int], rounds: int = 50, prior: float | None = None) -> Model:
-    """A model from labelled documents. ``prior``: share of toxic documents where it is to be used."""
-    y = np.array(list(labels), int)
-    documents = [TOKEN.findall(t) for t in texts]
-    if not len(y) or y.all() or not y.any():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model({}, -8.0, np.ones((2, 2)), (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0))
-    telling = _telling(documents, y)
-    stream = [t for d in documents for t in d]
-    lengths = np.array([len(d) for d in documents])
+@dataclass(frozen=True)
+class _Stream:
+    """Documents as one stream of tokens, by the numbers of distinct tokens."""
+
+    tokens: list[str]
+    of: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+
+def _stream(documents: list[list[str]]) -> _Stream:
+    number: dict[str, int] = {}
+    of = np.array([number.setdefault(t, len(number)) for d in documents for t in d], np.int64)
+    lengths = np.array([len(d) for d in documents], np.int64)
     starts = np.cumsum(lengths) - lengths
-    first = np.zeros(len(stream), bool)
+    first = np.zeros(len(of), bool)
     first[starts[lengths > 0]] = True
-    toxic = np.repeat(y, lengths).astype(bool)
+    return _Stream(list(number), of, first, starts, lengths)
+
+
+def _field(s: _Stream, y: np.ndarray, telling: set[str], rounds: int, features=features) -> Model:
+    """The conditional random field by AdaGrad on the likelihood of the token labels; not calibrated yet."""
     number: dict[str, int] = {}
-    token_number: dict[str, int] = {}
-    of_stream = np.array([token_number.setdefault(t, len(token_number)) for t in stream])
-    own = [[number.setdefault(f, len(number)) for f in features(t)] for t in token_number]
-    marked = np.array([not telling.isdisjoint(features(t)) for t in token_number], bool)
-    truth = marked[of_stream] & toxic
+    own = [[number.setdefault(f, len(number)) for f in features(t)] for t in s.tokens]
+    marked = np.array([not telling.isdisjoint(features(t)) for t in s.tokens], bool)
+    truth = marked[s.of] & np.repeat(y, s.lengths).astype(bool)
     width = 1 + len(_PREFIXES)
     ids = np.full((len(own), width), len(number), np.int64)  # by distinct token; the last id is no feature
     for i, found in enumerate(own):
@@ -167,17 +216,17 @@ def train(texts: list[str], labels: Iterable[int], rounds: int = 50, prior: floa
     weights, bias, trans = np.zeros(len(number) + 1), -4.0, np.zeros((2, 2))
     grad_sq, trans_sq, bias_sq = np.full(len(number) + 1, 1e-6), np.full((2, 2), 1e-6), 1e-6
     before = np.concatenate([[0], truth[:-1].astype(int)])
-    inner = ~first
+    inner = ~s.first
     seen = np.zeros((2, 2))
     np.add.at(seen, (before[inner], truth[inner].astype(int)), 1)
     for _ in range(rounds):
-        emission = weights[ids].sum(axis=1)[of_stream] + bias
-        marginal, alpha, beta = forward_backward(emission, first, np.exp(trans))
+        emission = weights[ids].sum(axis=1)[s.of] + bias
+        marginal, alpha, beta = forward_backward(emission, s.first, np.exp(trans))
         err = truth - marginal
-        by_token = np.bincount(of_stream, err, len(own))
+        by_token = np.bincount(s.of, err, len(own))
         g = np.bincount(ids.ravel(), np.repeat(by_token, width), len(number) + 1) - 0.05 * weights
         g[-1] = 0
-        pair = alpha[:-1, :, None] * np.exp(trans) * (beta[1:] * np.stack([np.ones(len(stream) - 1), np.exp(np.clip(emission[1:], -30, 30))], 1))[:, None, :]
+        pair = alpha[:-1, :, None] * np.exp(trans) * (beta[1:] * np.stack([np.ones(len(s.of) - 1), np.exp(np.clip(emission[1:], -30, 30))], 1))[:, None, :]
         pair /= pair.sum(axis=(1, 2), keepdims=True)
         gt = seen - pair[inner[1:]].sum(axis=0) - 0.05 * trans
         gb = err.sum() - 0.05 * bias
@@ -187,10 +236,45 @@ def train(texts: list[str], labels: Iterable[int], rounds: int = 50, prior: floa
         bias += 0.3 * gb / np.sqrt(bias_sq)
     names = list(number)
     kept = {names[i]: float(weights[i]) for i in np.flatnonzero(np.abs(weights[:-1]) > 0.02)}
-    model = Model(kept, float(bias), np.exp(trans), (0.0, 0.0, 0.0))
-    by_token = np.array([model.emission(t) for t in token_number])
-    marginal = forward_backward(by_token[of_stream], first, model.transition)[0]
-    x = np.concatenate([np.ones((len(y), 1)), _summary(marginal, starts, lengths)], axis=1)
+    return Model(kept, float(bias), np.exp(trans), (0.0, 0.0, 0.0))
+
+
+def _summaries(model: Model, s: _Stream) -> np.ndarray:
+    if not len(s.of):
+        return _summary(np.zeros(0), s.starts, s.lengths)
+    by_token = np.array([model.emission(t) for t in s.tokens])
+    return _summary(forward_backward(by_token[s.of], s.first, model.transition)[0], s.starts, s.lengths)
+
+
+def train(
+    texts: list[str], labels: Iterable[int], prior: float | None = None, clean: list[str] = (), rounds: int = 25, folds: int = 3
+) -> Model:
+    """A model from labelled documents. ``prior``: share of toxic documents where it is to be used; ``clean``:
+    further clean documents, only to tell the words of toxic ones from others."""
+    y = np.array(list(labels), int)
+    documents = [TOKEN.findall(t) for t in texts]
+    if not len(y) or y.all() or not y.any() or not any(documents):
+        share = float(y.mean()) if len(y) else 0.0
+        return Model({}, -8.0, np.ones((2, 2)), (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0))
+    more = [TOKEN.findall(t) for t in clean]
+    # By the least hash of its five-word windows, so that copies of a text are in one fold.
+    least = [min((crc32(" ".join(d[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(d) - 4))), default=0) for d in documents]
+    fold = np.array(least) % folds
+    none = np.full(len(more), -1)
+    words = _Telling([*documents, *more], np.concatenate([y, np.zeros(len(more), int)]), np.concatenate([fold, none]))
+
+    def field(left_out: int | None) -> Model:
+        rows = np.flatnonzero(fold != left_out) if left_out is not None else np.arange(len(y))
+        return _field(_stream([documents[i] for i in rows]), y[rows], words.without(left_out), rounds, words.features)
+
+    x = np.ones((len(y), 3))
+    whole = field(None)
+    for k in range(folds):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(own):
+            continue
+        usable = 0 < y[rest].sum() < len(rest) and any(documents[i] for i in rest)
+        x[own, 1:] = _summaries(field(k) if usable else whole, _stream([documents[i] for i in own]))
     share = float(y.mean())
     prior = share if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
     importance = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
@@ -201,7 +285,7 @@ def train(texts: list[str], labels: Iterable[int], rounds: int = 50, prior: floa
         curve = (x * (importance * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 0.1, 0.1])
         move = np.linalg.solve(curve, slope)
         c -= move * min(1.0, 3.0 / max(1e-9, float(np.abs(move).max())))
-    return Model(kept, float(bias), np.exp(trans), tuple(float(v) for v in c))
+    return replace(whole, calibration=tuple(float(v) for v in c))
 
 
 class Scorer:
@@ -265,28 +349,30 @@ def _rows(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     """Train on a bounded sample of ``docs`` that ``labels(doc_id, toxic)`` marks, held-out ids left out.
 
-    Null ids and null labels are passed over; a doc_id with several labels is toxic if one of them is.
+    Null ids and null labels are passed over; a doc_id with several labels is toxic if one of them is. Texts
+    that occur several times are taken once, as toxic if one of their rows is.
     """
     marked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [marked.where(F.col("toxic") == y).orderBy(*order).limit(sample.per_label) for y in (0, 1)]
-    picked = chosen[0].unionByName(chosen[1])  # at most 2 * per_label ids, so it may be broadcast
-    found = (
-        _rows(docs)
-        .where(F.length("text") <= sample.max_chars)
-        .join(F.broadcast(picked), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .collect()
+    hashed = _rows(docs).where(F.length("text") <= sample.max_chars).withColumn("hash", F.xxhash64("text"))
+    # Long texts are left out before the sample is drawn; only ids and hashes are looked at for it.
+    known = checkpointed(
+        marked.join(hashed.select("doc_id", "hash"), "doc_id").groupBy("hash").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     )
-    found.sort(key=lambda r: r.doc_id)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [known.where(F.col("toxic") == y).orderBy(*order).limit(n) for y, n in ((0, max(sample.clean, sample.per_label)), (1, sample.per_label))]
+    picked = chosen[0].unionByName(chosen[1])  # at most per_label + clean ids, so it may be broadcast
+    found = hashed.join(F.broadcast(picked), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("doc_id", "toxic", "text", order[0].alias("h")).collect()
+    found.sort(key=lambda r: (r.h, r.doc_id))
+    clean, toxic = ([r.text for r in found if r.toxic == y] for y in (0, 1))
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else None
-    return train([r.text for r in found], [int(r.toxic > 0) for r in found], prior=prior)
+    own = clean[: sample.per_label]
+    return train([*own, *toxic], [0] * len(own) + [1] * len(toxic), prior, clean[sample.per_label :])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -294,7 +380,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     score: probability of the toxic label; predicted: 1 if score >= threshold; spans: offending
     ``start:end`` in code points, comma-joined. Null and empty texts have no tokens and get the score of
-    an empty text. Null doc_ids are not held out. Repeated rows stay; other columns are not read.
+    an empty text. Null doc_ids are not held out. Repeated rows stay; other columns are not read. An empty
+    table gives an empty result.
     """
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -313,7 +400,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns kept."""
+    """The rows of ``docs`` that score below ``threshold``, all columns kept, whatever their names.
+
+    A null text scores as an empty one; repeated rows stay. An empty table gives an empty result.
+    """
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = worker(model).score([t or "" for t in batch.column("text").to_pylist()])

@@ -90,6 +90,36 @@ def test_counts_equal_the_library_and_the_cache_is_used(spark, odd_docs):
     assert token_counts.token_counts(odd_docs.limit(0), JSON, fresh_path(spark, "test-cache")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, token_counts.FEW])
+def test_a_part_filled_cache_is_joined_and_only_misses_are_encoded(spark, monkeypatch, few):
+    """Stored counts are used as they stand, and only what is missing goes through the tokenizer, once."""
+    texts = [f"text number {i} of some" for i in range(60)]
+    first = spark.createDataFrame(list(enumerate(texts[:55])), "doc_id bigint, text string")
+    every = spark.createDataFrame([*enumerate(texts), (500, texts[3]), (501, texts[57]), (None, texts[58])], "doc_id bigint, text string").repartition(3)
+    cache = fresh_path(spark, "test-cache")
+    token_counts.token_counts(first, JSON, cache, few=few).count()
+    version = token_counts.tokenizer_digest(JSON)
+    wrong = spark.createDataFrame([(hashlib.sha256(texts[0].encode()).digest(), 1000, version)], "digest binary, cached long, tokenizer string")
+    wrong.write.mode("append").partitionBy("tokenizer").parquet(cache)  # a mark that shows that the cache is read
+    got = {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(every, JSON, cache, few=few).collect()}
+    count = token_counts.counter(JSON).counts
+    want = {(i, n) for i, n in enumerate(count(texts))} | {(500, count([texts[3]])[0]), (501, count([texts[57]])[0]), (None, count([texts[58]])[0])}
+    assert got == want - {(0, count([texts[0]])[0])} | {(0, 1000)}
+    assert spark.read.parquet(cache).count() == 55 + 1 + 5
+    again = token_counts.token_counts(every, JSON, cache, few=few)
+    assert again.count() == 63 and spark.read.parquet(cache).count() == 61
+
+
+def test_files_of_another_sort_go_to_the_library_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [*ODD, "a\u0301e\u0301", "Don't WE'LL"]
+    assert not token_counts.counter(path).by_piece and token_counts.counter(JSON).by_piece
+    assert token_counts.counter(path).counts(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+
+
 def test_sentencepiece_counts(spark):
     import sentencepiece
 
@@ -386,6 +416,27 @@ def test_toxicity_on_rows_held_out(spark):
     assert toxicity.query(docs.limit(0), lab).count() == 0
 
 
+def test_copied_passages_are_no_mark_of_toxic_texts():
+    """A clean passage that stands in many toxic texts, and copies of one toxic text, do not make their words toxic."""
+    rng = random.Random(6)
+    words, rare = [f"w{i}" for i in range(300)], [f"rare{i}" for i in range(40)]
+    passage = " ".join(rng.sample(rare, 25))
+    prose = lambda: [rng.choice(words) for _ in range(60)]
+    texts, labels = [], []
+    for i in range(300):
+        text = prose()
+        if i % 3 == 0:
+            text[rng.randrange(60)] = text[rng.randrange(60)] = rng.choice(["grunkle", "snarfed"])
+        texts.append(" ".join(text) + (" " + passage if i % 9 == 0 else ""))
+        labels.append(int(i % 3 == 0))
+    texts += [texts[3] + " " + " ".join(rare[25:])] * 40
+    labels += [1] * 40
+    scorer = toxicity.Scorer(toxicity.train(texts, labels))
+    clean = [" ".join(prose()) + " " + passage for _ in range(20)] + [" ".join(prose() + rare[25:]) for _ in range(20)]
+    assert max(s for s, _ in scorer.score(clean)) < 0.3
+    assert min(s for s, _ in scorer.score([" ".join([*prose(), "grunkle", *prose(), "snarfed"]) for _ in range(20)])) >= 0.3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header class="site">Site {n}</header>
 <nav><ul><li><a href="/x">menu {n}</a></ul></nav><div class="cookie-notice">cookies</div>
 <div class="content"><h1>Title {n} &amp; more</h1><p>Body   {n}<br>second <b>bold</b> part<p>Open paragraph {n}<div>All rights reserved</div></div>
