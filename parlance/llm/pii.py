@@ -42,11 +42,12 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
 _ACCOUNT = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
-PATTERNS["iban"] = f"(?<![A-Za-z0-9_])(?:{_ACCOUNT})(?![A-Za-z0-9_])"
+PATTERNS["iban"] = f"(?<![A-Za-z0-9_])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_ACCOUNT})(?![A-Za-z0-9_])"
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
-#: A text without this is not searched: a cheap test before the expression.
-_NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: A text without this is not searched: a cheap test before the expression, by a string or a short expression.
+_NEEDS = {"email": "@", "phone": "+"}
+_SHORT = {"ip": r"[0-9]\.[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "-[0-9]{2}-"}
 _PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: Words near a span that make it likelier, in the languages of the corpus. A span starts at its
 #: kind's score, and a word within WINDOW code points before or after it adds LIFT. An added span
@@ -138,7 +139,7 @@ def _spans(kind: str, text: Column) -> Column:
 
         return _bound(_sums(lengths), spans)
 
-    might = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(PATTERNS[kind])
+    might = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(_SHORT.get(kind, PATTERNS[kind]))
     return F.when(might, _bound(both, place)).otherwise(F.array().cast(_EMPTY))
 
 
