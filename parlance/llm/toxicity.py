@@ -125,52 +125,69 @@ class _Telling:
     others always stand between the same words.
     """
 
-    def __init__(self, documents: list[list[str]], labels: np.ndarray, fold: np.ndarray, least: float = 20.0) -> None:
+    def __init__(
+        self, documents: list[list[str]], labels: np.ndarray, fold: np.ndarray, folds: int, more: Iterable[list[str]] = (), least: float = 20.0
+    ) -> None:
+        """``more``: further clean documents, in no fold; they are read once and not kept."""
         self.documents, self.labels, self.fold, self.least = documents, labels, fold, least
-        self.of: dict[str, list[str]] = {}
-        self.seen: dict[tuple[int, int], Counter] = {}
+        of: dict[str, list[str]] = {}
+        seen = [Counter() for _ in range(folds)]
         for tokens, y, k in zip(documents, labels.tolist(), fold.tolist(), strict=True):
-            self.seen.setdefault((k, y), Counter()).update({f for t in set(tokens) for f in self.features(t)})
+            if y:
+                seen[k].update({f for t in set(tokens) for f in (of.get(t) or of.setdefault(t, features(t)))})
+        every = Counter()
+        for counts in seen:
+            every.update(counts)
+        # Only what three toxic documents hold can be telling, so nothing else is counted in clean ones.
+        self.number = {f: i for i, f in enumerate(f for f, k in every.items() if k > 2)}
+        self.toxic, self.clean = np.zeros((folds, len(self.number)), np.int64), np.zeros((folds + 1, len(self.number)), np.int64)
+        for k, counts in enumerate(seen):
+            for f, n in counts.items():
+                if f in self.number:
+                    self.toxic[k, self.number[f]] = n
+        self.more = 0
+
+        def count(tokens: list[str], k: int) -> None:
+            own = {self.number[f] for t in set(tokens) for f in features(t) if f in self.number}
+            self.clean[k, list(own)] += 1
 
-    def features(self, token: str) -> list[str]:
-        out = self.of.get(token)
-        if out is None:
-            out = self.of[token] = features(token)
-        return out
+        for tokens, y, k in zip(documents, labels.tolist(), fold.tolist(), strict=True):
+            if not y:
+                count(tokens, k)
+        for tokens in more:
+            count(tokens, folds)
+            self.more += 1
 
     def without(self, left_out: int | None) -> set[str]:
         """The telling features of all documents but those of one fold."""
         rows = np.ones(len(self.fold), bool) if left_out is None else self.fold != left_out
-        toxic, clean = Counter(), Counter()
-        for (k, y), counts in self.seen.items():
-            if k != left_out:
-                (toxic if y else clean).update(counts)
+        others = [k for k in range(len(self.toxic)) if k != left_out]
+        toxic, clean = self.toxic[others].sum(axis=0), self.clean[[*others, len(self.toxic)]].sum(axis=0)
         n1 = float(self.labels[rows].sum())
-        n0 = float(rows.sum()) - n1
-
-        def passes(f: str, k1: int) -> bool:
-            k0 = clean[f]
-            if k1 < 3 or k0 * n1 > 0.1 * k1 * n0:
-                return False
-            rate = (k1 + k0) / (n1 + n0)
-            ratio = 2 * (k1 * np.log(k1 / n1 / rate) + (k0 * np.log(k0 / n0 / rate) if k0 else 0))
-            ratio += 2 * ((n1 - k1) * np.log(max(1e-12, (1 - k1 / n1) / (1 - rate))) + (n0 - k0) * np.log((1 - k0 / n0) / (1 - rate)))
-            return ratio >= self.least
-
-        lefts: dict[str, set[tuple[str, str]]] = {f: set() for f, k1 in toxic.items() if k1 > 2 and passes(f, k1)}
+        n0 = float(rows.sum()) - n1 + self.more
+
+        def passes(k1: np.ndarray) -> np.ndarray:
+            k0, rate = clean, (k1 + clean) / (n1 + n0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = 2 * (k1 * np.log(k1 / n1 / rate) + np.where(k0 > 0, k0 * np.log(k0 / n0 / rate), 0))
+                ratio += 2 * ((n1 - k1) * np.log(np.maximum(1e-12, (1 - k1 / n1) / (1 - rate))) + (n0 - k0) * np.log((1 - k0 / n0) / (1 - rate)))
+            return (k1 > 2) & (k0 * n1 <= 0.1 * k1 * n0) & (ratio >= self.least)
+
+        names = list(self.number)
+        lefts: dict[str, set[tuple[str, str]]] = {names[i]: set() for i in np.flatnonzero(passes(toxic))}
         rights: dict[str, set[tuple[str, str]]] = {f: set() for f in lefts}
-        held = Counter()
+        held = np.zeros(len(names), np.int64)
         for i in np.flatnonzero(rows & (self.labels == 1)).tolist():
             around, found = ["", "", *(t.lower() for t in self.documents[i]), "", ""], {}
             for at, t in enumerate(self.documents[i]):
-                for f in self.features(t):
+                for f in features(t):
                     if f in lefts:
                         found.setdefault(f, []).append((tuple(around[at : at + 2]), tuple(around[at + 3 : at + 5])))
             for f, places in found.items():
-                held[f] += any(x not in lefts[f] and y not in rights[f] for x, y in places)
+                held[self.number[f]] += any(x not in lefts[f] and y not in rights[f] for x, y in places)
                 lefts[f].update(x for x, _ in places)
                 rights[f].update(y for _, y in places)
-        return {f for f in lefts if passes(f, held[f])}
+        return {names[i] for i in np.flatnonzero(passes(held))}
 
 
 def _summary(marginal: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -203,7 +220,11 @@ def _stream(documents: list[list[str]]) -> _Stream:
     return _Stream(list(number), of, first, starts, lengths)
 
 
-def _field(s: _Stream, y: np.ndarray, telling: set[str], rounds: int, features=features) -> Model:
+#: Tokens whose messages and pair marginals are held at once in training.
+_PART = 65_536
+
+
+def _field(s: _Stream, y: np.ndarray, telling: set[str], rounds: int) -> Model:
     """The conditional random field by AdaGrad on the likelihood of the token labels; not calibrated yet."""
     number: dict[str, int] = {}
     own = [[number.setdefault(f, len(number)) for f in features(t)] for t in s.tokens]
@@ -219,17 +240,29 @@ def _field(s: _Stream, y: np.ndarray, telling: set[str], rounds: int, features=f
     inner = ~s.first
     seen = np.zeros((2, 2))
     np.add.at(seen, (before[inner], truth[inner].astype(int)), 1)
+    cuts = [0]  # parts of the stream that end with a document
+    for end in (s.starts + s.lengths).tolist():
+        if end - cuts[-1] >= _PART:
+            cuts.append(end)
+    cuts += [len(s.of)] * (cuts[-1] < len(s.of))
     for _ in range(rounds):
-        emission = weights[ids].sum(axis=1)[s.of] + bias
-        marginal, alpha, beta = forward_backward(emission, s.first, np.exp(trans))
-        err = truth - marginal
-        by_token = np.bincount(s.of, err, len(own))
+        of_token = weights[ids].sum(axis=1) + bias
+        by_token, expected, total = np.zeros(len(own)), np.zeros((2, 2)), 0.0
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            part, first = s.of[begin:end], s.first[begin:end]
+            emission = of_token[part]
+            marginal, alpha, beta = forward_backward(emission, first, np.exp(trans))
+            err = truth[begin:end] - marginal
+            by_token += np.bincount(part, err, len(own))
+            total += err.sum()
+            odds = np.stack([np.ones(len(part) - 1), np.exp(np.clip(emission[1:], -30, 30))], 1)
+            pair = alpha[:-1, :, None] * np.exp(trans) * (beta[1:] * odds)[:, None, :]
+            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            expected += pair[~first[1:]].sum(axis=0)
         g = np.bincount(ids.ravel(), np.repeat(by_token, width), len(number) + 1) - 0.05 * weights
         g[-1] = 0
-        pair = alpha[:-1, :, None] * np.exp(trans) * (beta[1:] * np.stack([np.ones(len(s.of) - 1), np.exp(np.clip(emission[1:], -30, 30))], 1))[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        gt = seen - pair[inner[1:]].sum(axis=0) - 0.05 * trans
-        gb = err.sum() - 0.05 * bias
+        gt = seen - expected - 0.05 * trans
+        gb = total - 0.05 * bias
         grad_sq, trans_sq, bias_sq = grad_sq + g * g, trans_sq + gt * gt, bias_sq + gb * gb
         weights += 0.7 * g / np.sqrt(grad_sq)
         trans += 0.2 * gt / np.sqrt(trans_sq)
@@ -256,16 +289,14 @@ def train(
     if not len(y) or y.all() or not y.any() or not any(documents):
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, -8.0, np.ones((2, 2)), (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0))
-    more = [TOKEN.findall(t) for t in clean]
     # By the least hash of its five-word windows, so that copies of a text are in one fold.
     least = [min((crc32(" ".join(d[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(d) - 4))), default=0) for d in documents]
     fold = np.array(least) % folds
-    none = np.full(len(more), -1)
-    words = _Telling([*documents, *more], np.concatenate([y, np.zeros(len(more), int)]), np.concatenate([fold, none]))
+    words = _Telling(documents, y, fold, folds, map(TOKEN.findall, clean))
 
     def field(left_out: int | None) -> Model:
         rows = np.flatnonzero(fold != left_out) if left_out is not None else np.arange(len(y))
-        return _field(_stream([documents[i] for i in rows]), y[rows], words.without(left_out), rounds, words.features)
+        return _field(_stream([documents[i] for i in rows]), y[rows], words.without(left_out), rounds)
 
     x = np.ones((len(y), 3))
     whole = field(None)
