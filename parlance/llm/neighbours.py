@@ -8,7 +8,7 @@ present k-th with a probability below ``miss``.
 
 * Equal vectors collapse first: a vector is kept once, with its k + 1 least ids. No more of them can be
   among k neighbours, so nothing is lost, and a vector with very many copies is searched once.
-* Cells: planes fitted on at most ``SAMPLE`` rows cut the projected space into up to ``SAMPLE`` / 16 cells
+* Cells: planes fitted on some ``SAMPLE`` distinct vectors, drawn by a hash, cut the projected space into up to ``SAMPLE`` / 16 cells
   of about ``SHARD_ROWS`` rows. Every row is put into its cell; a cell beyond that size is cut into
   shards by a hash. Each shard holds one kd-tree over its projections.
 * First round: a query searches the shards of its own cell. Second round: the same test, with its k-th
@@ -301,8 +301,10 @@ def nearest(
     for dim, n in sorted((r.dim, r["count"]) for r in groups.groupBy("dim").count().collect()):
         levels = min(int(np.ceil(np.log2(n / shard_rows))) if n > shard_rows else 0, int(np.log2(SAMPLE / 16)))
         if levels:
-            picked = rows.where(F.col("dim") == dim).select("v", "a").orderBy(F.xxhash64("a"), "vec_id").limit(SAMPLE)
-            points = np.unique(np.array([r.v for r in picked.collect()], float), axis=0)
+            # Distinct vectors by a hash below a limit, some SAMPLE of them, each read from the row of its least id.
+            share = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)) < int((1 << 31) * min(1.0, SAMPLE / n))
+            picked = groups.where((F.col("dim") == dim) & share).withColumn("vec_id", F.col("id")[0]).join(rows, [*vector, "vec_id"])
+            points = np.unique(np.array([r.v for r in picked.select("v").collect()], float), axis=0)
             cells[dim] = Cells(points @ directions(dim, to, seed), levels)
     once = rows.join(groups.withColumn("vec_id", F.col("id")[0]), [*vector, "vec_id"]).dropDuplicates([*vector, "vec_id"])
     data = checkpointed(_placed(once.select("dim", "a", "id", "v"), "array<long>", cells, to, seed))

@@ -89,8 +89,8 @@ class Model:
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound on training: so many documents with a finding and as many of any sort (those with the least hashes
-    of their texts, of at most so many characters each), and so many findings made by rule.
+    """The bound on training: so many documents with a finding and as many of any sort (those whose texts have the
+    least hash of each residue, of at most so many characters each), and so many findings made by rule.
 
     At most 2 * documents * max_chars characters (20 million with these values) reach the driver.
     """
@@ -341,8 +341,15 @@ def fit(docs: DataFrame, sample: Sample = Sample()) -> Model:
     """The network for a corpus, from a bounded sample of ``docs(text)``. Null and empty texts are passed over."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & (F.length("text") <= sample.max_chars))
     shaped = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA|(?<![0-9a-f])[0-9a-f]{24}|PRIVATE KEY-----"
-    few = lambda rows: rows.orderBy(F.xxhash64("text"), "text").limit(sample.documents).collect()
-    picked = [r.text for rows in (texts.where(F.col("text").rlike(shaped)), texts) for r in few(rows)]
+    texts = texts.withColumn("h", F.xxhash64("text"))
+
+    def few(rows: DataFrame) -> list[int]:
+        """The least hash of each of ``documents`` residues: formed with partial sums, never more rows than that."""
+        return [r.h for r in rows.groupBy(F.pmod("h", F.lit(sample.documents)).alias("part")).agg(F.min("h").alias("h")).collect()]
+
+    wanted = set(few(texts.where(F.col("text").rlike(shaped)))) | set(few(texts))
+    found = texts.where(F.col("h").isin(*wanted)).dropDuplicates(["h"]).collect() if wanted else []
+    picked = [r.text for r in sorted(found, key=lambda r: r.h)]
     return trained(list(dict.fromkeys(picked)), sample)
 
 
