@@ -16,20 +16,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(
     terms: DataFrame, postings: DataFrame, lengths: DataFrame, vocab: DataFrame, stats: DataFrame,
-    pool: DataFrame | None = None, k1: float = V.BM25_K1, b: float = V.BM25_B,
+    pool: DataFrame | None = None, members: DataFrame | None = None, k1: float = V.BM25_K1, b: float = V.BM25_B,
 ) -> DataFrame:
     """``terms(query, token, boost)`` -> (query, doc, score), summed over matching postings.
 
     The few tokens that queries hold meet the vocabulary first; postings are then reduced by an equi
-    join on the token, so terms that no query holds never travel further. ``pool(query, doc)`` keeps
-    only those pairs. Terms of boost 0 are passed over.
+    join on the token, so terms that no query holds never travel further. ``pool(query, category)`` with
+    ``members(doc, category)`` keeps only documents of a query's categories. Terms of boost 0 are passed over.
     """
     asked = terms.where("boost <> 0").join(vocab.select("token", "idf"), "token")
     hits = postings.join(asked, "token").join(lengths, "doc").crossJoin(F.broadcast(stats.select("avg_len")))
     norm = F.col("wtf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * F.col("boost") * F.col("wtf") * (k1 + 1) / norm
     scores = hits.groupBy("query", "doc").agg(F.sum(part).alias("score"))
-    return scores.join(pool, ["query", "doc"], "left_semi") if pool is not None else scores
+    if pool is None:
+        return scores
+    return scores.join(members, "doc").join(pool, ["query", "category"], "left_semi").select("query", "doc", "score")
 
 
 def top_k(scores: DataFrame, k: int = 10, by: str = "score", digits: int = 6) -> DataFrame:
@@ -43,3 +45,23 @@ def normalised(scores: DataFrame) -> DataFrame:
     """Scores over the largest of their query; all 0 if that is not above 0."""
     top = F.max("score").over(Window.partitionBy("query"))
     return scores.withColumn("lexical", F.when(top > 0, F.col("score") / top).otherwise(0.0))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """``needles(needle)``, ``texts(doc, text)`` -> (needle, doc) where the needle is a substring of the text. Both hold
+    words with single spaces between them.
+
+    No needle meets every text: inner words of a needle are whole words of the text, so the longest one is
+    looked up by an equi join. A needle of two words begins with the end of some word, one of one word is part of
+    some word: those few meet the distinct words, and then the texts that hold them. Candidates are verified.
+    """
+    held = texts.select("doc", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    parts = F.split("needle", " ")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    long = needles.where(F.size(parts) > 2).select("needle", longest.alias("word"))
+    short = needles.where((F.size(parts) <= 2) & (F.col("needle") != "")).select("needle", parts[0].alias("first"), F.size(parts).alias("n"))
+    fits = F.when(F.col("n") == 1, F.contains("word", F.col("first"))).otherwise(F.endswith("word", F.col("first")))
+    spots = held.select("word").distinct().join(short, fits).select("needle", "word")
+    found = held.join(long.unionByName(spots), "word").select("needle", "doc").distinct()
+    return found.join(texts, "doc").where(F.contains("text", F.col("needle"))).select("needle", "doc")

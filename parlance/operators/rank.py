@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.config import Config
 from parlance.functions import text as T
+from parlance.sources.shared import checkpointed
 
 CONSTRAINT = "array<struct<text:string,kind:string,value:string,weight:double>>"
 
@@ -117,20 +118,27 @@ def ranked(rows: DataFrame, k: int, config: Config = Config()) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def padded(best: DataFrame, pool: DataFrame, popular: DataFrame, k: int) -> DataFrame:
+def padded(best: DataFrame, pool: DataFrame, popular: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Fill lists up to k: ranked ones, then the pool by popularity, then the catalog's most popular.
 
-    ``pool(query, doc, popularity)``; ``popular(doc, popularity)`` holds at most a few dozen rows.
+    ``pool(query, doc, popularity)``; ``popular(doc, popularity)`` holds at most a few dozen rows, and only lists
+    that are still short meet it. ``queries(query)``: all queries, if some may have no pool.
     """
-    queries = pool.select("query").distinct()
-    tiers = (
+    own = (
         best.select("query", "doc", F.lit(0).alias("tier"), F.col("rank").cast("double").alias("place"))
         .unionByName(pool.select("query", "doc", F.lit(1).alias("tier"), (-F.round("popularity", 6)).alias("place")))
-        .unionByName(queries.crossJoin(F.broadcast(popular.limit(64))).select("query", "doc", F.lit(2).alias("tier"), (-F.round("popularity", 6)).alias("place")))
+        .groupBy("query", "doc").agg(F.min(F.struct("tier", "place")).alias("at"))
+    )
+    first = Window.partitionBy("query").orderBy("at.tier", "at.place", "doc")
+    own = checkpointed(own.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n"))
+    sizes = own.groupBy("query").agg(F.count("*").alias("n"))
+    every = sizes.select("query") if queries is None else queries.select("query").distinct()
+    short = every.join(sizes, "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")
+    more = short.crossJoin(F.broadcast(popular.limit(64))).select(
+        "query", "doc", F.struct(F.lit(2).alias("tier"), (-F.round("popularity", 6)).alias("place")).alias("at")
     )
-    first = tiers.groupBy("query", "doc").agg(F.min(F.struct("tier", "place")).alias("at"))
-    order = Window.partitionBy("query").orderBy("at.tier", "at.place", "doc")
-    out = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = own.unionByName(more).groupBy("query", "doc").agg(F.min("at").alias("at"))
+    out = each.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return out.select("query", "doc", "rank", F.col("at.tier").alias("tier"))
 
 
@@ -155,27 +163,30 @@ def permuted(order: Column, n: Column) -> Column:
 
 
 def mmr(rows: DataFrame, k: int = 10, lam: float = 0.82) -> DataFrame:
-    """``rows(query, doc, score, title_tokens)`` -> (query, doc, rank), diversified by title overlap.
+    """``rows(query, doc, score, title_tokens, hard)`` -> (query, doc, rank), diversified by title overlap.
 
-    Greedy, so one query's list is picked in one Python call. At most 6k rows a query enter it, cut by a
-    window beforehand; nothing larger is gathered.
+    A query with a hard signal (``hard``, the same in all its rows; without the column none has) keeps its order by score. Greedy, so one
+    query's list is picked in one Python call. At most 6k rows a query enter it, cut by a window beforehand;
+    nothing larger is gathered. Values are compared at nine places, ties go to the higher score.
     """
+    rows = rows if "hard" in rows.columns else rows.withColumn("hard", F.lit(False))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     head = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 6 * k).drop("_n")
     kind = dict(head.dtypes)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        left = [
-            (r.doc, float(r.score), set(r.title_tokens)) for r in group.sort_values(["score", "doc"], ascending=[False, True]).itertuples()
-        ]
-        top = max((s for _, s, _ in left), default=0.0) or 1.0
-        chosen: list[tuple] = []
-        while left and len(chosen) < k:
-            def value(item: tuple) -> float:
-                same = max((len(item[2] & c[2]) / max(1, len(item[2] | c[2])) for c in chosen), default=0.0)
-                return lam * item[1] / top - (1 - lam) * same
-            best = max(range(len(left)), key=lambda i: (value(left[i]), -i))
-            chosen.append(left.pop(best))
+        group = group.sort_values(["score", "doc"], ascending=[False, True])
+        left = [(r.doc, float(r.score), set(r.title_tokens)) for r in group.itertuples()]
+        if group["hard"].iloc[0]:
+            chosen = left[:k]
+        else:
+            top, chosen = max(s for _, s, _ in left) or 1.0, []
+            while left and len(chosen) < k:
+                value = [
+                    round(lam * s / top - (1 - lam) * max((len(t & c) / max(1, len(t | c)) for *_, c in chosen), default=0.0), 9)
+                    for _, s, t in left
+                ]
+                chosen.append(left.pop(value.index(max(value))))
         return pd.DataFrame({"query": group["query"].iloc[0], "doc": [c[0] for c in chosen], "rank": range(1, len(chosen) + 1)})
 
     return head.groupBy("query").applyInPandas(pick, f"query {kind['query']}, doc {kind['doc']}, rank int")
@@ -186,5 +197,5 @@ def fallback_response(asked: DataFrame, index: DataFrame, popular: DataFrame, k:
     pool = asked.join(index, "category").select("query", F.col("parent_asin").alias("doc"), "popularity")
     first = Window.partitionBy("query").orderBy(F.desc(F.round("popularity", 6)), "doc")
     head = pool.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query", "doc", "rank")
-    asked_all = asked.select("query").crossJoin(F.broadcast(popular.limit(64))).select("query", "doc", "popularity")
-    return padded(head, asked_all, popular, k).select("query", "doc", "rank")
+    own = head.select("query", "doc", F.lit(0.0).alias("popularity"))
+    return padded(head, own, popular, k, asked).select("query", "doc", "rank")

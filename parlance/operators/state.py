@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parlance.config import Config
 from parlance.functions import text as T
 from parlance.operators import dialogue as D
+from parlance.sources.shared import checkpointed
 
 KEYS = ["session_id", "turn"]
 
@@ -60,7 +61,7 @@ def state(messages: DataFrame, lookup: DataFrame, config: Config = Config(), pen
     attribute, weight, active, added, pos) and ``observed`` (session_id, turn, token: the turn that first
     held it). ``pending`` is the attribute asked before a reply that names none.
     """
-    acts = parsed(messages, lookup)
+    acts = checkpointed(parsed(messages, lookup))  # read by all relations below, parsed once
     order = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     spent = F.when(F.col("kind").isin("no_additional", "boundary"), F.coalesce("attribute", F.lit(pending)))
     turns = acts.select(

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import bisect
-import hashlib
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.functions import vocabulary as V
+from parlance.operators import lexical as L
 from parlance.operators import metrics as M
 from parlance.sources.shared import checkpointed
 
 
-#: Public targets that a matched sample may follow.
-MATCHED = 100_000
-
-
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """Rows with i = 0, 1, ... in order of ``key``, without gathering them in one task.
 
@@ -28,15 +22,14 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     # Ranges come from a sample that differs from run to run, so they are fixed by a checkpoint.
     ranged = checkpointed(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
     counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # one row a partition
-    starts, at = {}, 0
+    starts, at = [], 0
     for p in sorted(counts):
-        starts[p] = at
+        starts.append((p, at))
         at += counts[p]
-    if not starts:
-        return rows.withColumn("i", F.lit(0).cast("bigint")).limit(0)
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("_p"))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_p int, _start bigint"))
     order = Window.partitionBy("_p").orderBy(key)
-    return ranged.withColumn("i", (F.row_number().over(order) - 1 + offset).cast("bigint")).drop("_p")
+    made = ranged.join(offsets, "_p").withColumn("i", (F.row_number().over(order) - 1 + F.col("_start")).cast("bigint"))
+    return made.drop("_p", "_start")
 
 
 def resamples(spark: SparkSession, n: int, rounds: int, seed: int) -> DataFrame:
@@ -119,31 +112,37 @@ def sample_uniform(rows: DataFrame, key: str, n: int, seed: int = 3) -> DataFram
 
 
 def sample_matched(pool: DataFrame, reference: DataFrame, n: int, seed: int = 4) -> DataFrame:
-    """``pool(parent_asin, rating_number)``, ``reference(rating_number)`` -> (place, parent_asin): greedy
-    nearest popularity, each product once.
+    """``pool(parent_asin, rating_number)``, ``reference(rating_number)`` -> (place, parent_asin): n seeded draws
+    from the reference, for each the product of nearest popularity that is still free.
 
-    Using up products is sequential, so one task does it, with an id and a number a product. ``reference``
-    is a set of at most MATCHED public targets.
+    Places are found over all of the pool and the reference. A draw takes the free product with the least
+    distance in the order by popularity, so no more than n places on either side of each draw's own are looked
+    at: those rows, n (2 n + 1) at most, and n is the feature, are what the greedy walk reads.
     """
-    goals = [r.rating_number for r in reference.select("rating_number").orderBy("rating_number").limit(MATCHED).collect()]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["rating_number", "parent_asin"])
-        counts, ids = rows["rating_number"].tolist(), rows["parent_asin"].tolist()
-        free, out = [True] * len(ids), []
-        for place in range(min(n, len(ids)) if goals else 0):
-            goal = goals[int(hashlib.md5(f"{seed}|{place}".encode()).hexdigest()[:12], 16) % len(goals)]
-            start = bisect.bisect_left(counts, goal)
-            for offset in range(len(ids) + 1):
-                hit = next((i for i in (start + offset, start - offset) if 0 <= i < len(ids) and free[i]), None)
-                if hit is not None:
-                    free[hit] = False
-                    out.append((place, ids[hit]))
-                    break
-        yield pd.DataFrame(out, columns=["place", "parent_asin"])
-
-    one = pool.select("parent_asin", "rating_number").coalesce(1)
-    return one.mapInPandas(walk, "place bigint, parent_asin string")
+    spark = pool.sparkSession
+    known = numbered(reference.select("rating_number"), "rating_number")
+    rows = numbered(pool.select("parent_asin", "rating_number", F.struct("rating_number", "parent_asin").alias("k")), "k")
+    size, total = known.count(), rows.count()
+    if not size or not total:
+        return spark.createDataFrame([], "place bigint, parent_asin string")
+    draws = spark.range(n).select(F.col("id").alias("place"), T.draw(seed, "id", modulus=size).alias("i"))
+    goals = {r.place: r.rating_number for r in F.broadcast(draws).join(known, "i").collect()}
+    values = sorted(set(goals.values()))
+    starts = dict(zip(values, rows.agg(*(F.count_if(F.col("rating_number") < v) for v in values)).first(), strict=True))
+    near: list[list[int]] = []  # stretches of places, merged where they meet
+    for at in sorted(starts.values()):
+        if near and at - n <= near[-1][1]:
+            near[-1][1] = at + n
+        else:
+            near.append([at - n, at + n])
+    wanted = reduce(lambda a, b: a | b, (F.col("i").between(*x) for x in near))
+    ids = {r.i: r.parent_asin for r in rows.where(wanted).select("i", "parent_asin").collect()}
+    out = []
+    for place in range(min(n, total)):
+        start = starts[goals[place]]
+        hit = next(i for d in range(total + 1) for i in (start + d, start - d) if i in ids)
+        out.append((place, ids.pop(hit)))
+    return spark.createDataFrame(out, "place bigint, parent_asin string")
 
 
 def popularity_summary(rows: DataFrame) -> DataFrame:
@@ -185,7 +184,8 @@ def exactness(constraints: DataFrame, catalog: DataFrame) -> DataFrame:
     low = T.normalise("text")
     rows = constraints.withColumn("needle", low)
     needles = rows.select("needle").where("needle <> ''").distinct()
-    hits = catalog.join(needles, F.contains(catalog.norm, needles.needle)).groupBy("needle").agg(F.count("*").alias("catalog_matches"))
+    found = L.containing(needles, catalog.select(F.col("parent_asin").alias("doc"), F.col("norm").alias("text")))
+    hits = found.groupBy("needle").agg(F.count("*").alias("catalog_matches"))
     target = catalog.select(F.col("parent_asin").alias("target"), F.col("norm").alias("own"))
     made = F.col("text").startswith("color: ") | F.col("text").startswith("budget around $") | F.col("needle").isin(*V.MATERIALS)
     return rows.join(hits, "needle", "left").join(target, "target").select(
@@ -215,6 +215,40 @@ def rank_diagnosis(scored: DataFrame, eps: float = 1e-9) -> DataFrame:
     )
 
 
+def rank_summary(diagnosis: DataFrame) -> DataFrame:
+    """``diagnosis(query, known, strictly_above, rank, gap)`` -> where targets stand, by the number of constraints
+    known and over all (-1): first, behind equal scores only, behind better scores, and of the latter the upper
+    medians of the gap to the top and of the products above."""
+    beaten = "IF(strictly_above > 0, {}, NULL)"
+    median = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {beaten.format(c)} DESC)")
+    rolled = diagnosis.rollup("known").agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("sessions"), F.count_if(F.col("rank") == 1).alias("rank_1"),
+        F.count_if((F.col("rank") > 1) & (F.col("strictly_above") == 0)).alias("lost_to_ties"),
+        F.count_if(F.col("strictly_above") > 0).alias("lost_to_scoring"),
+        median("gap").alias("median_gap"), median("strictly_above").cast("bigint").alias("median_above"),
+    )
+    return rolled.withColumn("known", F.when(F.col("_g") == 1, F.lit(-1)).otherwise(F.col("known")).cast("bigint")).drop("_g")
+
+
+def coverage_summary(ceiling: DataFrame) -> DataFrame:
+    """``ceiling(query, higher, equal, lower)`` -> one row: sessions, targets at the top, and the rivals above the
+    others by what they cover."""
+    sums = {"rivals_beating_on_evidence": "higher", "rivals_in_saturated_ties": "equal", "rivals_mis_scored": "lower"}
+    above = F.col("higher") + F.col("equal") + F.col("lower")
+    return ceiling.agg(
+        F.count("*").alias("sessions"), F.count_if(above == 0).alias("none_above"), F.sum(above).alias("rivals_above_targets"),
+        *(F.sum(c).alias(n) for n, c in sums.items()),
+    )
+
+
+def coverage_histogram(covered: DataFrame) -> DataFrame:
+    """``covered(query, doc, target, covered)`` -> (query, covered, products, of_target): how many products of a
+    pool cover so many constraints, and whether the target is one of them."""
+    return covered.groupBy("query", F.col("covered").cast("bigint").alias("covered")).agg(
+        F.count("*").alias("products"), F.max(F.col("doc") == F.col("target")).alias("of_target")
+    )
+
+
 def coverage(text: Column, constraints: Column) -> Column:
     """How many constraint strings are in the text."""
     return F.size(F.filter(constraints, lambda c: F.contains(F.lower(text), c)))

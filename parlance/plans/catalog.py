@@ -193,7 +193,7 @@ def _question(attr: str, turn: str) -> str:
     opens = S.words(V.OPEN_QUESTIONS)
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.QUESTIONS.items())
     return (
-        f"(CASE WHEN {attr} IS NULL THEN 'Here are the closest matches I found.' WHEN {attr} = 'other' THEN "
+        f"(CASE WHEN {attr} IS NULL THEN 'This is the nearest that the catalog has.' WHEN {attr} = 'other' THEN "
         f"{opens}[(1 + greatest({turn} - 1, 0) % {len(V.OPEN_QUESTIONS)})::INT] ELSE CASE {attr} {cases} ELSE '{V.OPEN_QUESTIONS[0]}' END END)"
     )
 
@@ -214,7 +214,7 @@ ORACLE_SQL = {
     "clean_constraint": "SELECT doc_id, rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' -;,.' || chr(9) || chr(10)), 1, 180)) AS cleaned FROM documents",
     "constraint_origin": f"{_CONSTRAINTS_SQL} SELECT parent_asin, pos, CASE WHEN lower(text) LIKE 'color: %' OR lower(text) LIKE 'budget around $%' OR list_contains({S.words(V.MATERIALS)}, lower(text)) THEN 'synthesised' ELSE 'mined' END AS origin FROM c WHERE text IS NOT NULL",
     "question_wording": f"WITH {A.RESULTS_SQL}, r AS (SELECT sample_id, coalesce(first_hit_turn, 11) AS turn, {S.words((*V.QUESTIONS, V.OPEN, 'brand'))}[(sample_id % {len(V.QUESTIONS) + 3})::INT + 1] AS attribute FROM result) SELECT sample_id, attribute, {_question('attribute', 'turn')} AS question FROM r",
-    "reply_wording": f"WITH {A.RESULTS_SQL}, r AS (SELECT sample_id, coalesce(first_hit_turn, 11) AS turn, coalesce(best_rank, 0) AS n, CASE sample_id % 3 WHEN 0 THEN 'color' WHEN 1 THEN 'other' END AS a FROM result) SELECT sample_id, CASE WHEN n = 0 THEN 'I could not find a close match yet. ' || {_question("coalesce(a, 'other')", 'turn')} WHEN a IS NULL THEN 'Here are the closest matches I found.' ELSE CASE WHEN sample_id % 2 > 0 THEN 'Here are my best matches so far. ' ELSE 'Here are some options to start from. ' END || {_question('a', 'turn')} END AS reply FROM r",
+    "reply_wording": f"WITH {A.RESULTS_SQL}, r AS (SELECT sample_id, coalesce(first_hit_turn, 11) AS turn, coalesce(best_rank, 0) AS n, CASE sample_id % 3 WHEN 0 THEN 'color' WHEN 1 THEN 'other' END AS a FROM result) SELECT sample_id, CASE WHEN n = 0 THEN 'Nothing fits so far. ' || {_question("coalesce(a, 'other')", 'turn')} WHEN a IS NULL THEN 'This is the nearest that the catalog has.' ELSE CASE WHEN sample_id % 2 > 0 THEN 'By what you told me, these fit best. ' ELSE 'For a first look, take these. ' END || {_question('a', 'turn')} END AS reply FROM r",
     "weighted_postings": f"WITH {S.POSTINGS} SELECT doc, token, wtf FROM post",
     "corpus_postings": f"WITH {S.CORPUS} SELECT doc, token, wtf FROM post",
     "doc_lengths": f"WITH {S.POSTINGS} SELECT doc, len FROM len",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import replace
 
@@ -22,6 +21,7 @@ from parlance.operators import stats as ST
 from parlance.plans import catalog, conversation, ranking
 from parlance.plans import sql as S
 from parlance.sources import adapters as A
+from parlance.sources.shared import shared_dir
 from parlance.streaming import sessions as STREAM
 
 #: Pools in simulations are categories alone; the small-pool fallback has a query of its own.
@@ -142,16 +142,36 @@ def _scored(spark, sf_dir):
     return rows.select("query", F.col("parent_asin").alias("doc"), "target", texts, F.round(R.blend(), 6).alias("score"))
 
 
+def rank_summary(spark, sf_dir):
+    """Where targets stand after all constraints are known, and why."""
+    scored = _scored(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    rank = scored.select("query", F.size("texts").alias("known"), "doc", "target", place.alias("rank")).where("doc = target")
+    found = ST.rank_diagnosis(scored.select("query", "doc", "target", "score")).join(rank, "query")
+    return ST.rank_summary(found)
+
+
 def rank_diagnosis(spark, sf_dir):
     return ST.rank_diagnosis(_scored(spark, sf_dir).select("query", "doc", "target", "score"))
 
 
-def coverage_ceiling(spark, sf_dir):
+def _covered(spark, sf_dir):
     surface = A.products(spark, sf_dir).select(
         F.col("parent_asin").alias("doc"), F.concat_ws(" ", "title", F.array_join("features", " "), F.array_join("description", " ")).alias("surface")
     )
-    rows = _scored(spark, sf_dir).join(surface, "doc").withColumn("covered", ST.coverage(F.col("surface"), F.col("texts")))
-    out = ST.coverage_ceiling(rows)
+    return _scored(spark, sf_dir).join(surface, "doc").withColumn("covered", ST.coverage(F.col("surface"), F.col("texts")))
+
+
+def coverage_summary(spark, sf_dir):
+    return ST.coverage_summary(ST.coverage_ceiling(_covered(spark, sf_dir)))
+
+
+def coverage_histogram(spark, sf_dir):
+    return ST.coverage_histogram(_covered(spark, sf_dir))
+
+
+def coverage_ceiling(spark, sf_dir):
+    out = ST.coverage_ceiling(_covered(spark, sf_dir))
     return out.select("query", "higher", "equal", "lower", F.col("target_coverage").cast("bigint").alias("target_coverage"))
 
 
@@ -187,9 +207,10 @@ def dense_cosine_topk(spark, sf_dir):
 
 
 def _term_vectors(spark, sf_dir):
-    """Vectors for product tokens: the embedding whose id is a hash of the token's letters."""
+    """Vectors for product tokens: the embedding whose place is a hash of the token's letters, of all embeddings."""
     tokens = I.weighted_postings(A.products(spark, sf_dir)).select("token").distinct()
-    number = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 6), 16, 10).cast("bigint") % 200
+    many = _vectors(spark, sf_dir).agg(F.max("doc") + 1).first()[0]
+    number = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 6), 16, 10).cast("bigint") % F.lit(many)
     return tokens.withColumn("doc", number).join(_vectors(spark, sf_dir), "doc").select("token", "v")
 
 
@@ -208,9 +229,9 @@ def hybrid_rank(spark, sf_dir):
     terms = lambda c: p.select(F.col(c).alias("query"), F.explode(T.terms(c)).alias("token"), F.lit(1.0).alias("boost")).distinct()
     of_title = DN.project(terms("title"), vectors).select(F.col("query").alias("title"), F.col("q").alias("tv"))
     of_category = DN.project(terms("category"), vectors).select(F.col("query").alias("category"), F.col("q").alias("cv"))
-    rows = rows.join(of_title, "title", "left").join(of_category, "category", "left").withColumn("cosine", F.round(DN.dot(F.col("tv"), F.col("cv")), 5))
+    rows = rows.join(of_title, "title", "left").join(of_category, "category", "left").withColumn("cosine", DN.dot(F.col("tv"), F.col("cv")))
     top = R.ranked(rows, 10, Config(use_dense_rerank=True))
-    return top.select("query", "doc", F.round("score", 4).alias("score"))
+    return top.select("query", "doc", "score")
 
 
 def latent_vectors(spark, sf_dir):
@@ -271,15 +292,15 @@ def perturbed_evaluation(spark, sf_dir):
 
 def stream_state_replay(spark, sf_dir):
     """The state fold as a stream over files of messages."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{given or tempfile.mkdtemp(prefix='parlance-')}/replay-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     return STREAM.replay(A.messages(spark, sf_dir), conversation._lookup(spark, sf_dir), folder)
 
 
 _OWN = (
     session_metrics, composite_rollup, unrounded_metrics, token_usage, bootstrap_interval, paired_delta, paired_improved_regressed,
     apportion_scenarios, eligible_targets, sample_uniform, sample_matched, held_out_sessions, popularity_summary, decile_edges,
-    yield_prior, constraint_exactness, constraint_exactness_summary, rank_diagnosis, coverage_ceiling, latency_quantiles,
+    yield_prior, constraint_exactness, constraint_exactness_summary, rank_diagnosis, rank_summary, coverage_ceiling, coverage_summary,
+    coverage_histogram, latency_quantiles,
     perturb_casing, perturb_punctuation, perturb_light, perturb_heavy, dense_cosine_topk, query_projection, hybrid_rank,
     latent_vectors, simulate_sessions, config_ablation, perturbed_evaluation, stream_state_replay,
 )
@@ -316,6 +337,9 @@ hit AS (SELECT needle, count(*) AS matches FROM (SELECT DISTINCT needle FROM n W
 rows AS (SELECT sample_id, text, CASE WHEN starts_with(text, 'color: ') OR starts_with(text, 'budget around $') OR needle IN {S._in(V.MATERIALS)} THEN 'synthesised' ELSE 'mined' END AS origin,
   needle <> '' AND contains(norm, needle) AS verbatim, coalesce(matches, 0)::BIGINT AS matches FROM n JOIN cat ON target = parent_asin LEFT JOIN hit USING (needle))"""
 _DIAG = f"""{ranking._BLEND}, tgt AS (SELECT query, target FROM sess), own AS (SELECT query, score AS own FROM blended JOIN tgt USING (query) WHERE doc = target)"""
+_COVERED = f"""{_DIAG}, surf AS (SELECT parent_asin AS doc, lower(concat_ws(' ', title, array_to_string(features, ' '), array_to_string(description, ' '))) AS sf FROM product),
+cov AS (SELECT b.query, b.doc, b.score, len(list_filter({_TEXTS}, lambda c: contains(sf, c))) AS covered FROM blended b JOIN surf USING (doc) JOIN sess USING (query)),
+goal AS (SELECT query, covered AS goal FROM cov JOIN tgt USING (query) WHERE doc = target)"""
 _VEC = "vec AS (SELECT vec_id AS doc, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
@@ -347,7 +371,7 @@ def _heavy() -> str:
 
 
 _TERMV = (
-    f"tv AS (SELECT token, v FROM (SELECT DISTINCT token, ('0x' || substr(md5(token), 1, 6))::BIGINT % 200 AS doc FROM post) JOIN vec USING (doc)), "
+    f"tv AS (SELECT token, v FROM (SELECT DISTINCT token, ('0x' || substr(md5(token), 1, 6))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings) AS doc FROM post) JOIN vec USING (doc)), "
     f"q AS (SELECT DISTINCT title AS query, unnest({S.terms('title')}) AS token FROM product), "
     "parts AS (SELECT query, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM q JOIN tv USING (token)), "
     "sums AS (SELECT query, pos, sum(x) AS s FROM parts GROUP BY ALL), "
@@ -383,10 +407,31 @@ ORACLE_SQL = {
     "constraint_exactness": f"{_EXACT} SELECT sample_id, text, origin, verbatim, matches FROM rows",
     "constraint_exactness_summary": f"{_EXACT} SELECT coalesce(origin, 'ALL') AS origin, count(*) AS constraints, round(100.0 * count(*) FILTER (verbatim) / count(*), 1)::DOUBLE AS pct_verbatim, round(100.0 * count(*) FILTER (matches = 1) / count(*), 1)::DOUBLE AS pct_unique, round(100.0 * count(*) FILTER (matches BETWEEN 1 AND 10) / count(*), 1)::DOUBLE AS pct_narrow FROM rows GROUP BY ROLLUP (origin)",
     "rank_diagnosis": f"{_DIAG} SELECT query, count(*) FILTER (score > own + 1e-9) AS strictly_above, count(*) FILTER (abs(score - own) <= 1e-9) - 1 AS tied, round(max(score) - max(own), 6) AS gap, count(*) AS pool_size FROM blended JOIN own USING (query) GROUP BY query",
-    "coverage_ceiling": f"""{_DIAG}, surf AS (SELECT parent_asin AS doc, lower(concat_ws(' ', title, array_to_string(features, ' '), array_to_string(description, ' '))) AS sf FROM product),
-cov AS (SELECT b.query, b.doc, b.score, len(list_filter({_TEXTS}, lambda c: contains(sf, c))) AS covered FROM blended b JOIN surf USING (doc) JOIN sess USING (query)),
-goal AS (SELECT query, covered AS goal FROM cov JOIN tgt USING (query) WHERE doc = target)
-SELECT query, count(*) FILTER (score > own AND covered > goal) AS higher, count(*) FILTER (score > own AND covered = goal) AS equal, count(*) FILTER (score > own AND covered < goal) AS lower, max(goal) AS target_coverage FROM cov JOIN own USING (query) JOIN goal USING (query) GROUP BY query""",
+    "coverage_ceiling": f"""{_COVERED} SELECT query, count(*) FILTER (score > own AND covered > goal) AS higher, count(*) FILTER (score > own AND covered = goal) AS equal, count(*) FILTER (score > own AND covered < goal) AS lower, max(goal) AS target_coverage FROM cov JOIN own USING (query) JOIN goal USING (query) GROUP BY query""",
+    "rank_summary": f"""{_DIAG}, placed AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM blended),
+diag AS (SELECT query, count(*) FILTER (score > own + 1e-9) AS above, round(max(score) - max(own), 6) AS gap FROM blended JOIN own USING (query) GROUP BY query),
+each AS (SELECT len({_TEXTS}) AS known, above, gap, rank FROM diag JOIN sess USING (query) JOIN placed ON placed.query = diag.query AND placed.doc = sess.target)
+SELECT coalesce(known, -1) AS known, count(*) AS sessions, count(*) FILTER (rank = 1) AS rank_1, count(*) FILTER (rank > 1 AND above = 0) AS lost_to_ties, count(*) FILTER (above > 0) AS lost_to_scoring,
+  (list_sort(list(gap) FILTER (above > 0)))[count(*) FILTER (above > 0) // 2 + 1] AS median_gap, (list_sort(list(above) FILTER (above > 0)))[count(*) FILTER (above > 0) // 2 + 1] AS median_above FROM each GROUP BY ROLLUP (known)""",
+    "coverage_summary": f"""{_COVERED}, c AS (SELECT query, count(*) FILTER (score > own AND covered > goal) AS h, count(*) FILTER (score > own AND covered = goal) AS e, count(*) FILTER (score > own AND covered < goal) AS l FROM cov JOIN own USING (query) JOIN goal USING (query) GROUP BY query)
+SELECT count(*) AS sessions, count(*) FILTER (h + e + l = 0) AS none_above, sum(h + e + l)::BIGINT AS rivals_above_targets, sum(h)::BIGINT AS rivals_beating_on_evidence, sum(e)::BIGINT AS rivals_in_saturated_ties, sum(l)::BIGINT AS rivals_mis_scored FROM c""",
+    "coverage_histogram": f"{_COVERED} SELECT query, covered, count(*) AS products, bool_or(doc = target) AS of_target FROM cov JOIN tgt USING (query) GROUP BY ALL",
+    "sample_matched": f"""WITH RECURSIVE {A.PRODUCTS_SQL}, {A.SESSIONS_SQL}, {_ELIGIBLE},
+ref AS (SELECT rating_number, row_number() OVER (ORDER BY rating_number) - 1 AS i FROM product WHERE parent_asin IN (SELECT target FROM session)),
+p AS (SELECT parent_asin, rating_number, row_number() OVER (ORDER BY rating_number, parent_asin) - 1 AS i FROM product WHERE parent_asin IN (SELECT parent_asin FROM el)),
+goal AS (SELECT place, rating_number AS g FROM (SELECT r AS place, {_draw("'4|' || r", '(SELECT count(*) FROM ref)')} AS i FROM range(200) t(r)) JOIN ref USING (i)),
+start AS (SELECT place, count(*) FILTER (rating_number < g) AS s FROM goal, p GROUP BY place),
+walk AS (SELECT -1::BIGINT AS place, []::BIGINT[] AS used
+  UNION ALL SELECT w.place + 1, list_append(w.used, arg_min(p.i, 2 * abs(p.i - s.s) + (p.i < s.s)::INT)) FROM walk w JOIN start s ON s.place = w.place + 1 JOIN p ON NOT list_contains(w.used, p.i) GROUP BY w.place, w.used)
+SELECT place, parent_asin FROM walk JOIN p ON p.i = walk.used[-1] WHERE place >= 0""",
+    "hybrid_rank": f"""{ranking._BLEND}, {_VEC}, {_TERMV},
+qc AS (SELECT DISTINCT category AS query, unnest({S.terms('category')}) AS token FROM idx), sums_c AS (SELECT query, pos, sum(x) AS s FROM (SELECT query, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM qc JOIN tv USING (token)) GROUP BY ALL),
+proj_c AS (SELECT query, pos, s / sqrt(sum(s * s) OVER (PARTITION BY query)) AS u FROM sums_c),
+own_t AS (SELECT DISTINCT category, title FROM idx), cosine AS (SELECT o.category, o.title, sum(t.u * c.u) AS cosine FROM own_t o JOIN proj t ON t.query = o.title JOIN proj_c c ON c.query = o.category AND c.pos = t.pos GROUP BY ALL),
+h AS (SELECT query, cand.parent_asin AS doc, round(1.0 * coalesce(lexical, 0) + 2.6 * met + 1.2 * popularity + 0.6 * coalesce(cosine, 0), 6) AS score FROM cand JOIN met USING (query, parent_asin) LEFT JOIN lex ON lex.category = cand.category AND lex.parent_asin = cand.parent_asin LEFT JOIN cosine ON cosine.category = cand.category AND cosine.title = cand.title)
+SELECT query, doc, score FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 10""",
+    "stream_state_replay": f"""WITH {conversation._STATE}, told AS (SELECT known.session_id, known.turn, string_agg(text, ' | ' ORDER BY added, pos) AS constraints FROM known GROUP BY ALL)
+SELECT session_id, turn, kind, turns.category, coalesce(told.constraints, '') AS constraints, coalesce(array_to_string(list_filter(spent, lambda x: x IS NOT NULL), ','), '') AS exhausted FROM turns JOIN act USING (session_id, turn) LEFT JOIN told USING (session_id, turn)""",
     "latency_quantiles": "WITH o AS (SELECT list_sort(list(value)) AS l, count(*) AS n, round(avg(value), 6) AS mean FROM events) SELECT mean, (l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2.0 AS median, l[greatest(1, least(n, floor(0.95 * n + 0.5)))::INT] AS p95, l[greatest(1, least(n, floor(0.99 * n + 0.5)))::INT] AS p99, l[n] AS largest FROM o",
     "perturb_casing": f"WITH {A.MESSAGES_SQL} SELECT session_id, turn, lower(message) AS message FROM message",
     "perturb_punctuation": f"WITH {A.MESSAGES_SQL} SELECT session_id, turn, regexp_replace(replace(replace(message, ';', ','), ':', ''), '[. ]+$', '') AS message FROM message",

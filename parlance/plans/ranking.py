@@ -15,6 +15,7 @@ from parlance.operators import rank as R
 from parlance.operators import simulate as SIM
 from parlance.plans import sql as S
 from parlance.sources import adapters as A
+from parlance.sources.shared import checkpointed
 
 
 def _corpus_index(spark, sf_dir):
@@ -25,11 +26,11 @@ def _corpus_index(spark, sf_dir):
     return post, lengths, I.vocabulary(post, stats), stats
 
 
-def _passage_scores(spark, sf_dir, boosted: bool = False, pool: DataFrame | None = None) -> DataFrame:
+def _passage_scores(spark, sf_dir, boosted: bool = False, **only: DataFrame) -> DataFrame:
     terms = L.query_terms(A.passages(spark, sf_dir))
     if boosted:
         terms = terms.withColumn("boost", F.when(F.length("token") % 2 == 0, 2.2).when(F.length("token") == 3, 0.0).otherwise(0.55))
-    return L.bm25(terms, *_corpus_index(spark, sf_dir), pool=pool)
+    return L.bm25(terms, *_corpus_index(spark, sf_dir), **only)
 
 
 def bm25_topk(spark, sf_dir):
@@ -38,9 +39,8 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_pool_restricted(spark, sf_dir):
-    english = A.corpus(spark, sf_dir).where("category = 'en'").select("doc")
-    pool = A.passages(spark, sf_dir).select("query").crossJoin(english)  # a stated query set against a category
-    return L.top_k(_passage_scores(spark, sf_dir, pool=pool)).select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
+    pool = A.passages(spark, sf_dir).select("query", F.lit("en").alias("category"))
+    return L.top_k(_passage_scores(spark, sf_dir, pool=pool, members=A.corpus(spark, sf_dir).select("doc", "category"))).select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def bm25_boosted(spark, sf_dir):
@@ -48,7 +48,7 @@ def bm25_boosted(spark, sf_dir):
 
 
 def lexical_normalised(spark, sf_dir):
-    scores = L.normalised(L.top_k(_passage_scores(spark, sf_dir)).drop("rank"))
+    scores = L.normalised(_passage_scores(spark, sf_dir))
     return scores.select("query", "doc", F.round("lexical", 6).alias("lexical"))
 
 
@@ -83,8 +83,8 @@ def retrieval_hits(spark, sf_dir):
 
 def _truth(spark, sf_dir):
     needles = A.passages(spark, sf_dir).select("query", T.match_text("text").alias("needle")).where("needle <> ''")
-    docs = A.corpus(spark, sf_dir).select("doc", T.match_text("text").alias("blob"))
-    return docs.join(needles, F.contains(docs.blob, needles.needle)).select("query", "doc")
+    docs = A.corpus(spark, sf_dir).select("doc", T.match_text("text").alias("text"))
+    return L.containing(needles.select("needle").distinct(), docs).join(needles, "needle").select("query", "doc")
 
 
 def verbatim_matches(spark, sf_dir):
@@ -92,7 +92,7 @@ def verbatim_matches(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir):
-    return I.with_popularity(I.product_index(A.products(spark, sf_dir)))
+    return I.with_popularity(checkpointed(I.product_index(A.products(spark, sf_dir))))
 
 
 def _sessions(spark, sf_dir):
@@ -100,16 +100,18 @@ def _sessions(spark, sf_dir):
     p = A.products(spark, sf_dir)
     cards = SIM.intent_card(p).join(p.select("parent_asin", T.coarse_category("categories").alias("category")), "parent_asin")
     s = A.sessions(spark, sf_dir).join(cards, F.col("target") == F.col("parent_asin"))
-    return s.select(
-        F.col("sample_id").alias("query"), "scenario_type", "category", "hard", "soft", "preference_tags", "override_turn", "target",
-        F.array_distinct(F.concat("hard", "soft")).alias("texts"),
+    return checkpointed(
+        s.select(
+            F.col("sample_id").alias("query"), "scenario_type", "category", "hard", "soft", "preference_tags", "override_turn", "target",
+            F.array_distinct(F.concat("hard", "soft")).alias("texts"),
+        )
     )
 
 
-def _candidates(spark, sf_dir):
+def _candidates(spark, sf_dir, indexed: DataFrame | None = None):
     """Each session's category with its constraints: the rows that ranking scores."""
     s = _sessions(spark, sf_dir).select("query", "category", "preference_tags", "target", R.typed(F.col("texts")).alias("constraints"))
-    return s.join(_indexed(spark, sf_dir), "category")
+    return s.join(_indexed(spark, sf_dir) if indexed is None else indexed, "category")
 
 
 def intent_card(spark, sf_dir):
@@ -184,21 +186,23 @@ def global_fallback(spark, sf_dir):
     return top.select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _blend_rows(spark, sf_dir):
+def _blend_rows(spark, sf_dir, indexed: DataFrame | None = None):
     scores = _product_scores(spark, sf_dir, _category_terms(_asked_categories(spark, sf_dir)))
     lexical = L.normalised(scores).select(F.col("query").alias("category"), F.col("doc").alias("parent_asin"), "lexical")
-    return _candidates(spark, sf_dir).join(lexical, ["category", "parent_asin"], "left")
+    return _candidates(spark, sf_dir, indexed).join(lexical, ["category", "parent_asin"], "left")
 
 
-def blend_rank(spark, sf_dir, config: Config = Config()):
-    top = R.ranked(_blend_rows(spark, sf_dir), 10, config)
+def blend_rank(spark, sf_dir, config: Config = Config(), rows: DataFrame | None = None):
+    top = R.ranked(_blend_rows(spark, sf_dir) if rows is None else rows, 10, config)
     return top.select("query", "doc", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def pad_recommendations(spark, sf_dir):
-    best = blend_rank(spark, sf_dir).where("rank <= 3")
-    pool = _candidates(spark, sf_dir).select("query", F.col("parent_asin").alias("doc"), "popularity")
-    popular = _indexed(spark, sf_dir).orderBy(F.desc(F.round("popularity", 6)), "parent_asin").limit(64)
+    indexed = _indexed(spark, sf_dir)
+    rows = _blend_rows(spark, sf_dir, indexed)
+    best = blend_rank(spark, sf_dir, rows=rows).where("rank <= 3")
+    pool = rows.select("query", F.col("parent_asin").alias("doc"), "popularity")
+    popular = indexed.orderBy(F.desc(F.round("popularity", 6)), "parent_asin").limit(64)
     out = R.padded(best, pool, popular.select(F.col("parent_asin").alias("doc"), "popularity"), 10)
     return out.select("query", "doc", F.col("rank").cast("bigint").alias("rank"), F.col("tier").cast("bigint").alias("tier"))
 
@@ -226,8 +230,9 @@ def title_jaccard(spark, sf_dir):
 
 def mmr_diversify(spark, sf_dir):
     i = _indexed(spark, sf_dir)
-    rows = i.select(F.col("category").alias("query"), F.col("parent_asin").alias("doc"), F.round("popularity", 6).alias("score"), "title_tokens")
-    return R.mmr(rows)
+    hard = (F.length("category") % 4 == 0).alias("hard")  # some queries have a hard signal
+    rows = i.select(F.col("category").alias("query"), F.col("parent_asin").alias("doc"), F.round("popularity", 6).alias("score"), "title_tokens", hard)
+    return R.mmr(rows).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def llm_permutation(spark, sf_dir):
@@ -337,7 +342,7 @@ ORACLE_SQL = {
     "bm25_topk": f"{_PASSAGES} {_RANKED}",
     "bm25_pool_restricted": f"WITH {S.CORPUS}, {S.PASSAGE_TERMS}, {S.bm25('asked')}, ranked AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM scored JOIN documents ON doc = doc_id WHERE lang = 'en') {_RANKED}",
     "bm25_boosted": f"WITH {S.CORPUS}, asked AS (SELECT DISTINCT item_id AS query, token, CASE WHEN len(token) % 2 = 0 THEN 2.2 WHEN len(token) = 3 THEN 0.0 ELSE 0.55 END::DOUBLE AS boost FROM (SELECT item_id, unnest({S.terms('text')}) AS token FROM benchmark)), {S.bm25('asked')}, {_TOP} {_RANKED}",
-    "lexical_normalised": f"{_PASSAGES} SELECT query, doc, round(CASE WHEN max(score) OVER (PARTITION BY query) > 0 THEN score / max(score) OVER (PARTITION BY query) ELSE 0 END, 6) AS lexical FROM ranked WHERE rank <= 10",
+    "lexical_normalised": f"{_PASSAGES} SELECT query, doc, round(CASE WHEN max(score) OVER (PARTITION BY query) > 0 THEN score / max(score) OVER (PARTITION BY query) ELSE 0 END, 6) AS lexical FROM scored",
     "baseline_or_bm25": f"WITH {A.PRODUCTS_SQL}, post AS{_BASELINE}, asked AS (SELECT DISTINCT title AS query, unnest({S.terms('title')}) AS token, 1.0::DOUBLE AS boost FROM product), {S.bm25('asked')}, {_TOP} {_RANKED}",
     "retrieval_hits": f"{_PASSAGES}, {_CORPUS_TEXT}, top AS (SELECT * FROM ranked WHERE rank <= 10) SELECT query, min(rank) IS NOT NULL AS hit, min(rank) AS best_rank, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS reciprocal_rank FROM truth LEFT JOIN top USING (query, doc) GROUP BY query",
     "verbatim_matches": f"WITH {_CORPUS_TEXT} SELECT query, doc FROM truth",
@@ -357,6 +362,16 @@ ORACLE_SQL = {
     "confidence_gate": f"WITH {A.PRODUCTS_SQL}, {_SESSION}, k AS (SELECT query, len(list_distinct(list_concat(hard, soft))) AS n, unnest([1, 2, 3, 4, 5])::BIGINT AS turn FROM sess) SELECT query, turn, CASE WHEN turn <= 3 AND n < 4 THEN 1 ELSE 10 END::BIGINT AS shown FROM k",
     "fallback_response": f"WITH {S.POPULARITY}, {_POPULAR}, r AS (SELECT category AS query, parent_asin AS doc, popularity, row_number() OVER (PARTITION BY category ORDER BY round(popularity, 6) DESC, parent_asin) AS rank FROM pop), head AS (SELECT * FROM r WHERE rank <= 10), qs AS (SELECT DISTINCT query FROM r), pool AS (SELECT query, doc, popularity FROM qs, popular), {_padded('head', 'pool', 'qs')} SELECT query, doc, rank FROM full_list WHERE rank <= 10",
     "title_jaccard": f"WITH {S.INDEX}, tt AS (SELECT parent_asin, category, list_distinct(title_terms) AS a FROM idx), lead AS (SELECT category, arg_min(a, parent_asin) AS b FROM tt GROUP BY 1) SELECT parent_asin, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM tt JOIN lead USING (category)",
+    "mmr_diversify": f"""WITH RECURSIVE {S.POPULARITY},
+head AS (SELECT category AS query, parent_asin AS doc, round(popularity, 6) AS score, list_distinct(title_terms) AS a, len(category) % 4 = 0 AS hard,
+  row_number() OVER (PARTITION BY category ORDER BY round(popularity, 6) DESC, parent_asin) AS n, max(round(popularity, 6)) OVER (PARTITION BY category) AS top FROM pop QUALIFY n <= 60),
+same AS (SELECT x.query, x.n, y.n AS m, len(list_intersect(x.a, y.a))::DOUBLE / greatest(1, len(list_distinct(list_concat(x.a, y.a)))) AS s FROM head x JOIN head y USING (query)),
+pick AS (SELECT DISTINCT query, 0::BIGINT AS rank, []::BIGINT[] AS used FROM head
+  UNION ALL SELECT query, rank + 1, list_append(used, arg_max(n, (v, -n))) FROM (
+    SELECT p.query, p.rank, p.used, h.n, CASE WHEN any_value(h.hard) THEN -h.n ELSE round(0.82::DOUBLE * any_value(h.score) / any_value(h.top) - (1::DOUBLE - 0.82::DOUBLE) * coalesce(max(s.s), 0), 9) END AS v
+    FROM pick p JOIN head h ON h.query = p.query AND NOT list_contains(p.used, h.n) LEFT JOIN same s ON s.query = p.query AND s.n = h.n AND list_contains(p.used, s.m)
+    WHERE p.rank < 10 GROUP BY p.query, p.rank, p.used, h.n) GROUP BY query, rank, used)
+SELECT pick.query, doc, rank FROM pick JOIN head ON head.query = pick.query AND head.n = pick.used[-1] WHERE rank > 0""",
     "llm_permutation": f"WITH {A.RESULTS_SQL}, o AS (SELECT sample_id, coalesce(best_rank, 0) AS n, list_transform(range(6), lambda j: (sample_id * (j + 3) + j) % 12 - 1) AS o FROM result), g AS (SELECT *, list_filter(o, lambda x: x >= 0 AND x < n) AS v FROM o), d AS (SELECT *, list_filter(v, lambda x, i: list_position(v, x) = i) AS d FROM g) SELECT sample_id, coalesce(array_to_string(list_concat(d, list_filter(range(n), lambda x: NOT list_contains(d, x))), ','), '') AS permutation FROM d",
     "normalize_recommendations": _ORDER_IDS,
 }

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only in local mode may it be unset; a temporary one, taken
+    away at the end, then stands in for it. On a cluster that would be some machine's own, so it is refused."""
+    sc = spark.sparkContext
+    given, own = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
+        if not given and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not given:
+            atexit.register(shutil.rmtree, made := tempfile.mkdtemp(prefix="parlance-"), ignore_errors=True)
+        sc.setCheckpointDir(given or made)
+        own = sc._jsc.sc().getCheckpointDir()
+    return given or own.get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage reliably. The folder is the one in ``spark.checkpoint.dir``; where that is unset (local
-    tests) a temporary one is made."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="parlance-"))
+    """Cut the lineage reliably, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -1,4 +1,10 @@
-"""The conversation state as a keyed stream: one state a session, folded message by message."""
+"""The conversation state as a keyed stream: one state a session, folded message by message.
+
+A message's act does not depend on the messages before it, so acts are parsed by the same plans as in the
+batch state, micro-batch by micro-batch; all that is kept for a session is the state the fold needs: the
+acts of its latest turns. A message that comes late is put in its place by turn, and the turns after it are
+folded anew, so the states are right in whatever order files arrive.
+"""
 
 from __future__ import annotations
 
@@ -9,78 +15,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parlance.functions import text as T
 from parlance.functions import vocabulary as V
-from parlance.operators import dialogue as D
-
-OUTPUT = "session_id bigint, turn int, kind string, category string, constraints string, exhausted string"
-STATE = "category string, constraints array<string>, exhausted array<string>"
-
-
-def acts(messages: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Messages with their acts, by column expressions and one stream-static join for template openings."""
-    low = T.normalise("message")
-    body = F.substring(low, len(V.OPENING_PREFIX) + 1, 1_000_000)
-    marker = F.locate(V.REQUIREMENT_MARKER, body)
-    first = F.col("turn") <= 1
-    exploring = body.endswith(V.EXPLORING_SUFFIX)
-    fragment = F.when(exploring, F.substring(body, F.lit(1), F.length(body) - len(V.EXPLORING_SUFFIX))).when(
-        marker > 0, F.substring(body, F.lit(1), marker - 1)
-    )
-    said = T.clean_segment(F.substring(body, marker + len(V.REQUIREMENT_MARKER), F.lit(1_000_000)))
-    begun = first & low.startswith(V.OPENING_PREFIX)
-    rows = messages.select(
-        "session_id", "turn", F.when(begun, fragment).alias("norm_name"), D.parse_reply("message").alias("r"), first.alias("first"),
-        F.when(begun & (marker > 0) & ~exploring, F.array(said)).otherwise(F.array().cast("array<string>")).alias("said"),
-    )
-    return rows.join(lookup, "norm_name", "left").select(
-        "session_id", "turn", F.when(F.col("first"), "opening").otherwise(F.col("r.kind")).alias("kind"), F.col("name").alias("category"),
-        F.when(~F.col("first"), F.col("r.attribute")).alias("attribute"), F.when(F.col("first"), F.col("said")).otherwise(F.col("r.constraints")).alias("constraints"),
-    )
-
-
-def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold a session's new messages, in order of turn, into its state; one row out for each."""
-    category, constraints, exhausted = state.get if state.exists else (None, [], [])
-    constraints, exhausted = list(constraints), list(exhausted)
-    rows, out = pd.concat(list(batches), ignore_index=True).sort_values("turn"), []
-    for r in rows.itertuples():
-        category = category or r.category
-        if r.kind in ("opening", "override", "disclosure"):
-            seen = {" ".join(c.lower().split()) for c in constraints}
-            for c in r.constraints:
+from parlance.operators import state as ST
+
+OUTPUT = "session_id bigint, turn int, kind string, category string, constraints string, exhausted string, revision int"
+#: The acts of a session in order of turn: what the fold reads of each.
+STATE = "turns array<int>, kinds array<string>, categories array<string>, attributes array<string>, constraints array<array<string>>, revision int"
+_ACTS = "session_id bigint, turn int, kind string, category string, attribute string, constraints array<string>"
+#: A session without a message for so long is over, and its state goes.
+IDLE_MS = 24 * 3600 * 1000
+
+
+def states(acts: list[tuple]) -> list[tuple[str | None, str, str]]:
+    """(category, constraints, exhausted) after each of a session's acts (turn, kind, category, attribute, constraints).
+
+    The rules are those of ``operators.state``: the first category named, constraints by their first mention,
+    attributes spent by refusals.
+    """
+    category, known, seen, spent, out = None, [], set(), set(), []
+    for _, kind, named, attribute, constraints in acts:
+        category = category or named
+        if kind in ("opening", "override", "disclosure"):
+            for c in constraints:
                 norm = " ".join(c.lower().split())
                 if norm and norm not in seen:
                     seen.add(norm)
-                    constraints.append(c)
-        elif r.kind in ("no_additional", "boundary"):
-            name = r.attribute or V.OPEN
-            if name not in exhausted:
-                exhausted.append(name)
-        out.append((key[0], r.turn, r.kind, category, " | ".join(constraints), ",".join(sorted(exhausted))))
-    state.update((category, constraints, exhausted))
-    yield pd.DataFrame(out, columns=["session_id", "turn", "kind", "category", "constraints", "exhausted"])
+                    known.append(c)
+        elif kind in ("no_additional", "boundary"):
+            spent.add(attribute or V.OPEN)
+        out.append((category, " | ".join(known), ",".join(sorted(spent))))
+    return out
+
+
+def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """Put a session's new acts in their places; one row out for each turn from the first new one on."""
+    columns = ["session_id", "turn", "kind", "category", "constraints", "exhausted", "revision"]
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=columns)
+        return
+    held = list(zip(*state.get[:5], strict=True)) if state.exists else []
+    revision = state.get[5] + 1 if state.exists else 0
+    new = [
+        (int(r.turn), r.kind, r.category, r.attribute, list(r.constraints)) for rows in batches for r in rows.itertuples()
+    ]
+    acts = sorted({a[0]: a for a in [*held, *new]}.values(), key=lambda a: a[0])
+    first = min(a[0] for a in new)
+    out = [
+        (key[0], a[0], a[1], *s, revision) for a, s in zip(acts, states(acts), strict=True) if a[0] >= first
+    ]
+    parts = [list(x) for x in zip(*acts, strict=True)]
+    state.update((*parts[:4], [list(c) for c in parts[4]], revision))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+    yield pd.DataFrame(out, columns=columns)
 
 
-def folded(messages: DataFrame, lookup: DataFrame) -> DataFrame:
-    """A stream of ``messages(session_id, turn, message)`` -> a stream of states after each message."""
-    return acts(messages, lookup).groupBy("session_id").applyInPandasWithState(
-        fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+def folded(acts: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """A stream of acts -> a stream of states: for each new act, its turn and all later ones of its session.
+
+    ``idle_ms``: after so long without a message a session's state goes; None keeps it, for streams that end.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return fold(key, batches, state, idle_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return acts.groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def replay(messages: DataFrame, lookup: DataFrame, folder: str, files: int = 4) -> DataFrame:
-    """Write messages as files, stream them through ``folded`` until all are read, and return what came out."""
+    """Write messages as files, stream them until all are read, and return the last state of every turn.
+
+    Two queries: the first parses each micro-batch of messages by the batch plans (openings, replies, the scan for
+    categories), the second folds the acts. Files hold turns in no order; ``fold`` sorts that out.
+    """
     spark = messages.sparkSession
     messages.repartition(files, "turn").write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = (
-        folded(stream, lookup)
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/out")
+
+    def parse(batch: DataFrame, number: int) -> None:
+        acts = ST.parsed(batch, lookup).select(
+            F.col("session_id").cast("bigint"), F.col("turn").cast("int"), "kind", "category", "attribute", "constraints"
+        )
+        acts.coalesce(4).write.mode("overwrite").parquet(f"{folder}/acts/{number}")  # a repeated batch writes the same
+
+    def run(stream: DataFrame, name: str, sink) -> None:
+        writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True)
+        sink(writer).awaitTermination()
+
+    said = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run(said, "parse", lambda w: w.foreachBatch(parse).start())
+    spark.createDataFrame([], _ACTS).write.parquet(f"{folder}/acts/none")
+    spark.createDataFrame([], OUTPUT).write.parquet(f"{folder}/out")
+    acts = spark.readStream.schema(_ACTS).option("maxFilesPerTrigger", 8).parquet(f"{folder}/acts/*")
+    run(folded(acts, None), "fold", lambda w: w.format("parquet").option("path", f"{folder}/out").start())
+    out = spark.read.schema(OUTPUT).parquet(f"{folder}/out")
+    latest = F.max_by(F.struct("kind", "category", "constraints", "exhausted"), "revision").alias("s")
+    return out.groupBy("session_id", "turn").agg(latest).select("session_id", "turn", "s.*")

@@ -225,3 +225,70 @@ def test_latent_keeps_every_term(spark, monkeypatch):
     monkeypatch.setattr(dense, "MOST_TERMS", 100)
     with pytest.raises(ValueError, match="100 distinct terms"):
         dense.latent(matrix, 3)
+
+
+def _state(rows):
+    return sorted((r.session_id, r.turn, r.kind, r.category, r.constraints, r.exhausted) for r in rows)
+
+
+def test_the_stream_gives_the_states_of_the_batch_in_any_order_of_files(spark, small, tmp_path):
+    """Turns of one session lie in different files, later ones in earlier files."""
+    from pyspark.sql import functions as F
+
+    from parlance.operators import state as ST
+    from parlance.plans import conversation
+    from parlance.sources import adapters as A
+    from parlance.streaming import sessions
+
+    messages = A.messages(spark, small).where("session_id < 40")
+    lookup = conversation._lookup(spark, small)
+    got = sessions.replay(messages, lookup, str(tmp_path / "replay"), files=3)
+    found = ST.state(messages, lookup)
+    said = found["constraints"].groupBy("session_id", "turn").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("added", "pos", "text"))), lambda c: c["text"]), " | ").alias("constraints")
+    )
+    want = found["turns"].join(found["acts"].select("session_id", "turn", "kind"), ["session_id", "turn"]).join(said, ["session_id", "turn"], "left")
+    want = want.select("session_id", "turn", "kind", "category", F.coalesce("constraints", F.lit("")).alias("constraints"), F.array_join("exhausted", ",").alias("exhausted"))
+    assert _state(got.collect()) == _state(want.collect()) and got.count() > 20
+
+
+def test_late_turns_are_put_in_their_places():
+    from parlance.streaming import sessions
+
+    acts = [(1, "opening", None, None, ["Red  shoes"]), (2, "disclosure", "Shoes", None, ["red shoes", "wide"]), (3, "no_additional", "Other", None, [])]
+    assert sessions.states(acts) == [(None, "Red  shoes", ""), ("Shoes", "Red  shoes | wide", ""), ("Shoes", "Red  shoes | wide", "other")]
+
+
+def test_containment_equals_brute_force(spark):
+    import random
+
+    from parlance.operators import lexical as L
+
+    rng = random.Random(3)
+    words = ["red", "covered", "shoe", "shoes", "a", "wide", "fit", "xl", "readable"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    needles = {" ".join(rng.choice(words) for _ in range(n))[rng.randint(0, 2) :].strip() for n in (1, 1, 2, 2, 3, 4, 5) for _ in range(25)} - {""}
+    needles = {" ".join(n.split()) for n in needles}
+    found = L.containing(
+        spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    )
+    assert sorted((r.needle, r.doc) for r in found.collect()) == sorted((n, i) for n in needles for i, t in enumerate(texts) if n in t)
+
+
+def test_matched_sample_equals_the_walk_by_hand(spark):
+    from parlance.operators import stats as ST
+
+    pool = spark.createDataFrame([(f"P{i:03d}", i * i % 97) for i in range(120)], "parent_asin string, rating_number bigint")
+    reference = spark.createDataFrame([(v,) for v in (3, 50, 50, 96, 200)], "rating_number bigint")
+    rows = sorted((r.rating_number, r.parent_asin) for r in pool.collect())
+    import hashlib
+
+    goals, free, want = [3, 50, 50, 96, 200], set(range(120)), []
+    for place in range(40):
+        goal = goals[int(hashlib.md5(f"4|{place}".encode()).hexdigest()[:12], 16) % 5]
+        start = sum(n < goal for n, _ in rows)
+        hit = min(free, key=lambda i: (abs(i - start), i < start))
+        free.remove(hit)
+        want.append((place, rows[hit][1]))
+    assert sorted((r.place, r.parent_asin) for r in ST.sample_matched(pool, reference, 40).collect()) == want
+    assert ST.sample_matched(pool.limit(0), reference, 5).count() == 0 and ST.sample_matched(pool.limit(3), reference, 5).count() == 3
