@@ -46,7 +46,7 @@ class Config:
     min_infogain: float = 0.08
 
     def __post_init__(self) -> None:
-        if self.clarify_strategy not in STRATEGIES:
+        if isinstance(self.clarify_strategy, str) and self.clarify_strategy not in STRATEGIES:
             raise ValueError(f"clarify_strategy must be one of {', '.join(STRATEGIES)}")
 
 

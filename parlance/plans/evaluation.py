@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.config import Config
+from parlance.config import ABLATIONS, Config
 from parlance.functions import text as T
 from parlance.functions import vocabulary as V
 from parlance.operators import dense as DN
@@ -24,7 +24,7 @@ from parlance.sources import adapters as A
 from parlance.sources.shared import shared_dir
 from parlance.streaming import sessions as STREAM
 
-#: Pools in simulations are categories alone; the small-pool fallback has a query of its own.
+#: Where many settings are played at once, pools are categories alone; ``simulate_sessions`` widens small ones.
 _SIM = Config(min_candidates=1)
 
 
@@ -248,14 +248,29 @@ def _base(spark, sf_dir):
 
 
 def simulate_sessions(spark, sf_dir):
-    return E.simulate(ranking._sessions(spark, sf_dir), _base(spark, sf_dir), _SIM)
+    return E.simulate(ranking._sessions(spark, sf_dir), _base(spark, sf_dir))
 
 
-#: Settings played in one run: weights of constraints and popularity, last turn that the gate holds.
-_GRID = (
-    ("default", 2.6, 1.2, 3), ("no_constraint_scoring", 0.0, 1.2, 3), ("no_popularity_prior", 2.6, 0.0, 3), ("no_confidence_gate", 2.6, 1.2, 0),
-    ("popularity_0.55", 2.6, 0.55, 3), ("gate_max_turn_6", 2.6, 1.2, 6),
-)
+#: Sweeps beside the named ablations.
+_SWEEPS = {"popularity_0.55": {"w_popularity": 0.55}, "gate_max_turn_6": {"gate_max_turn": 6}}
+#: Fields of the settings that are columns of the sessions, and switches that are weights or turns of 0.
+_PLAYED = {
+    "w_constraint": "double", "w_popularity": "double", "w_profile": "double", "gate_max_turn": "int", "clarify_strategy": "string",
+    "use_category_lock": "boolean", "use_state_tracking": "boolean", "use_override_erasure": "boolean",
+    "use_observed_fallback": "boolean", "pad_to_top_k": "boolean",
+}
+_ZERO = {"use_constraint_scoring": "w_constraint", "use_popularity_prior": "w_popularity", "use_profile_prior": "w_profile", "use_confidence_gate": "gate_max_turn"}
+
+
+def _grid(spark):
+    """One row a setting: its name and the value of every played field."""
+    rows = []
+    for name, changes in (ABLATIONS | _SWEEPS).items():
+        own = {field: getattr(_SIM, field) for field in _PLAYED}
+        for key, value in changes.items():
+            own[_ZERO.get(key, key)] = type(own[_ZERO[key]])(0) if key in _ZERO else value
+        rows.append((name, *own.values()))
+    return spark.createDataFrame(rows, "name string, " + ", ".join(f"{f} {kind}" for f, kind in _PLAYED.items()))
 
 
 def _named(sessions, names):
@@ -269,10 +284,9 @@ def _by_name(results):
 
 
 def config_ablation(spark, sf_dir):
-    """Metrics of the default and five other settings over the same sessions, played in one run."""
-    grid = spark.createDataFrame(list(_GRID), "name string, wc double, wp double, gate int")
-    config = replace(_SIM, w_constraint=F.col("wc"), w_popularity=F.col("wp"), gate_max_turn=F.col("gate"))
-    out = E.simulate(_named(ranking._sessions(spark, sf_dir), grid), _base(spark, sf_dir), config, extra=("wc", "wp", "gate"))
+    """Metrics of every named ablation and two sweep points over the same sessions, played in one run."""
+    config = replace(_SIM, **{field: F.col(field) for field in _PLAYED})
+    out = E.simulate(_named(ranking._sessions(spark, sf_dir), _grid(spark)), _base(spark, sf_dir), config, extra=tuple(_PLAYED))
     return _by_name(out).withColumnRenamed("scenario_type", "config")
 
 

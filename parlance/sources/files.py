@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +50,14 @@ def content_digest(spark: SparkSession, path: str) -> str:
 
 
 def stored(spark: SparkSession, root: str, digest: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table of an index, read if it is stored for this version and digest, else built and stored."""
+    """A table of an index, read if it is stored for this version and digest, else built and stored.
+
+    A table that is missing or whose files can't be opened is built anew.
+    """
     path = f"{root}/v={INDEX_VERSION}/digest={digest}/{name}"
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
