@@ -10,17 +10,25 @@ from parlance.config import Config
 from parlance.functions import text as T
 from parlance.sources.shared import checkpointed
 
-CONSTRAINT = "array<struct<text:string,kind:string,value:string,weight:double>>"
+CONSTRAINT = "array<struct<text:string,kind:string,value:string,weight:double,needle:string,words:array<string>>>"
+
+
+def worded(c: Column) -> Column:
+    """A constraint with what scoring needs of its text, so that no product row parses it again."""
+    return F.struct(
+        c["text"].alias("text"), c["kind"].alias("kind"), c["value"].alias("value"), c["weight"].alias("weight"),
+        T.match_text(c["text"]).alias("needle"), T.terms(c["text"]).alias("words"),
+    )
 
 
 def typed(texts: Column, weight: float = 1.0) -> Column:
-    """An array of texts as constraints with kind, value and weight."""
+    """An array of texts as constraints with kind, value and weight, worded."""
 
     def one(c: Column) -> Column:
         k = T.classify_kind(c)
         return F.struct(c.alias("text"), k["kind"].alias("kind"), k["value"].alias("value"), F.lit(weight).alias("weight"))
 
-    return F.transform(texts, one)
+    return F.transform(F.transform(texts, one), worded)
 
 
 def satisfies_material(value: Column, first: Column, all_of: Column) -> Column:
@@ -38,35 +46,35 @@ def satisfies_budget(value: Column, price: Column) -> Column:
     return F.when(price.isNotNull() & (target > 0), near).otherwise(0.25)
 
 
-def satisfies_phrase(text: Column, blob: Column) -> Column:
+def satisfies_phrase(needle: Column, words: Column, blob: Column) -> Column:
     """1 if the flattened phrase is in the text, else 0.7 times the share of its terms that are, as substrings."""
-    needle, words = T.match_text(text), T.terms(text)
     hits = F.size(F.filter(words, lambda t: F.contains(blob, t)))
     partial = F.when(F.size(words) > 0, 0.7 * hits / F.size(words)).otherwise(0.0)
     return F.when(needle == "", 0.0).when(F.contains(blob, needle), 1.0).otherwise(partial)
 
 
 def satisfaction(c: Column) -> Column:
-    """How far the product row meets one constraint, 0 to 1."""
+    """How far the product row meets one worded constraint, 0 to 1."""
     return (
         F.when(c["kind"] == "material", satisfies_material(c["value"], F.col("first_material"), F.col("materials")))
         .when(c["kind"] == "color", satisfies_color(c["value"], F.col("first_color"), F.col("colors")))
         .when(c["kind"] == "budget", satisfies_budget(c["value"], F.col("price")))
-        .otherwise(satisfies_phrase(c["text"], F.col("blob")))
+        .otherwise(satisfies_phrase(c["needle"], c["words"], F.col("blob")))
     )
 
 
 def constraint_score(constraints: Column) -> Column:
-    """Weighted mean satisfaction; longer constraints weigh up to three times as much. 0 without any."""
+    """Weighted mean satisfaction of worded constraints; longer ones weigh up to three times as much. 0 without any."""
     pairs = F.transform(
         constraints,
-        lambda c: F.struct(
-            ((1 + F.least(F.lit(2.0), F.size(T.terms(c["text"])) / 6.0)) * c["weight"]).alias("w"), satisfaction(c).alias("s")
-        ),
+        lambda c: F.struct(((1 + F.least(F.lit(2.0), F.size(c["words"]) / 6.0)) * c["weight"]).alias("w"), satisfaction(c).alias("s")),
+    )
+    return F.aggregate(
+        pairs,
+        F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("met")),
+        lambda a, p: F.struct((a["total"] + p["w"]).alias("total"), (a["met"] + p["w"] * p["s"]).alias("met")),
+        lambda a: F.when(a["total"] > 0, a["met"] / a["total"]).otherwise(0.0),
     )
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
-    met = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * p["s"])
-    return F.when(total > 0, met / total).otherwise(0.0)
 
 
 def profile_affinity(tags: Column, blob: Column) -> Column:

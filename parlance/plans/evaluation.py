@@ -24,7 +24,7 @@ from parlance.sources import adapters as A
 from parlance.sources.shared import shared_dir
 from parlance.streaming import sessions as STREAM
 
-#: Where many settings are played at once, pools are categories alone; ``simulate_sessions`` widens small ones.
+#: Pools in the registered simulations are categories alone; ``simulate`` itself widens small ones (``min_candidates``).
 _SIM = Config(min_candidates=1)
 
 
@@ -248,7 +248,7 @@ def _base(spark, sf_dir):
 
 
 def simulate_sessions(spark, sf_dir):
-    return E.simulate(ranking._sessions(spark, sf_dir), _base(spark, sf_dir))
+    return E.simulate(ranking._sessions(spark, sf_dir), _base(spark, sf_dir), _SIM)
 
 
 #: Sweeps beside the named ablations.
@@ -262,10 +262,16 @@ _PLAYED = {
 _ZERO = {"use_constraint_scoring": "w_constraint", "use_popularity_prior": "w_popularity", "use_profile_prior": "w_profile", "use_confidence_gate": "gate_max_turn"}
 
 
+#: Without the lock every session of every turn is scored against the whole catalog: left to callers of ``simulate``.
+_UNPLAYED = ("no_category_lock",)
+
+
 def _grid(spark):
     """One row a setting: its name and the value of every played field."""
     rows = []
     for name, changes in (ABLATIONS | _SWEEPS).items():
+        if name in _UNPLAYED:
+            continue
         own = {field: getattr(_SIM, field) for field in _PLAYED}
         for key, value in changes.items():
             own[_ZERO.get(key, key)] = type(own[_ZERO[key]])(0) if key in _ZERO else value
@@ -284,7 +290,7 @@ def _by_name(results):
 
 
 def config_ablation(spark, sf_dir):
-    """Metrics of every named ablation and two sweep points over the same sessions, played in one run."""
+    """Metrics of every named ablation but ``_UNPLAYED`` and of two sweep points over the same sessions, played in one run."""
     config = replace(_SIM, **{field: F.col(field) for field in _PLAYED})
     out = E.simulate(_named(ranking._sessions(spark, sf_dir), _grid(spark)), _base(spark, sf_dir), config, extra=tuple(_PLAYED))
     return _by_name(out).withColumnRenamed("scenario_type", "config")
