@@ -215,47 +215,6 @@ def test_simulated_sessions_are_kept_whole(spark, small):
     assert all((r.first_hit_turn is not None) == r.hit and (not r.hit or 1 <= r.best_rank <= 10) for r in out)
 
 
-def test_small_and_unlocked_pools_take_lexical_candidates(spark, small):
-    """Against pools by hand: the category's products and the best scores of the catalog (p4, then p3 before p8, its equal)."""
-    from pyspark.sql import functions as F
-
-    from parlance.config import Config
-    from parlance.operators import evaluate as E
-
-    index = spark.createDataFrame([("c1", f"p{i}") for i in range(3)] + [("c2", f"p{i}") for i in range(3, 9)], "category string, parent_asin string")
-    live = spark.createDataFrame([("a", "c1", True, True), ("b", None, True, True), ("d", "c1", False, True), ("e", "c2", True, False)], "query string, category string, lock boolean, wide boolean")
-    scores = spark.createDataFrame([(q, f"p{i}", float(i % 5)) for q in "abd" for i in range(2, 9)], "query string, doc string, score double")
-    config = Config(use_category_lock=F.col("lock"), global_fallback_limit=2)
-    found = {}
-    for r in E._wide_pool(live, scores, {"index": index}, config).collect():
-        found.setdefault(r.query, []).append(r.parent_asin)
-    assert {q: sorted(p) for q, p in found.items()} == {"a": ["p0", "p1", "p2", "p3", "p4"], "b": ["p3", "p4"], "d": ["p3", "p4"]}
-
-
-def test_a_column_of_strategies_asks_as_each_strategy_does(spark):
-    from pyspark.sql import functions as F
-
-    from parlance.config import STRATEGIES, Config
-    from parlance.operators import policy
-
-    rows = [(b, g, x) for b in ("color", None) for g in (0.0, 0.05, 0.5, 9.0) for x in ([], ["other"])]
-    df = spark.createDataFrame([(s, *r) for s in STRATEGIES for r in rows], "s string, best string, gain double, spent array<string>")
-    one = policy.choose(F.col("best"), F.col("gain"), F.col("spent"), Config(clarify_strategy=F.col("s")))
-    for s in STRATEGIES:
-        each = policy.choose(F.col("best"), F.col("gain"), F.col("spent"), Config(clarify_strategy=s))
-        assert df.where(F.col("s") == s).where(~one.eqNullSafe(each)).count() == 0
-
-
-def test_every_ablation_is_a_setting_of_the_grid(spark):
-    from parlance.config import ABLATIONS
-    from parlance.plans import evaluation
-
-    rows = {r.name: r.asDict() for r in evaluation._grid(spark).collect()}
-    assert set(rows) | set(evaluation._UNPLAYED) == set(ABLATIONS) | set(evaluation._SWEEPS)
-    others = [{k: v for k, v in r.items() if k != "name"} for n, r in rows.items() if n != "default"]
-    assert all(o != {k: v for k, v in rows["default"].items() if k != "name"} for o in others)
-
-
 def test_a_stored_table_that_cannot_be_opened_is_built_anew(spark, tmp_path):
     from parlance.sources import files
 
