@@ -15,17 +15,19 @@ Every pair of fingerprints that differ in at most ``radius`` bits is linked, exa
   the searcher's own part is skipped, and each tree returns a spanning forest: at most one row per
   fingerprint, also for thousands of near copies.
 
-``near_copies`` finds texts by shingle similarity instead of by a given number of bits. Keys of several
-MinHash values each make candidate groups, with as many keys as a pair at the limit needs to share one
-with the wanted recall. Inside a group the sets of shingles are compared exactly: no link stands on an
-estimate.
+``near_copies`` finds texts by shingle similarity instead of by a given number of bits, by the same steps. At
+a similarity of 0.8 two fingerprints differ in some 15 % of their bits, and no exact cutting into blocks
+reaches so far. So fingerprints of WIDE_BITS bits over distinct shingles are dealt out by samples of
+their bits, as many as a pair at the limit needs to meet with the wanted recall; BK-trees over TREE_BITS other
+bits search each bucket, and star contraction makes candidate groups of their links. Inside a group the
+sets of shingles are compared exactly: no link stands on an estimate.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations, groupby
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -243,8 +245,15 @@ def _components(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(of_fp.drop("root", "salt"), "fp").select("doc_id", "text_hash", "fp", "component_id", "keep_hash")
 
 
-#: MinHash values in a key, and how surely a pair at the limit shares a key.
-KEY_VALUES, KEY_RECALL = 8, 0.995
+#: Bits of a wide fingerprint; the first TREE_BITS are searched by trees, samples of the others are keys.
+WIDE_BITS, TREE_BITS = 1024, 128
+#: Least bits in a key, and how surely a pair at the limit shares a key and lies within the trees' radius.
+KEY_VALUES, KEY_RECALL, TREE_RECALL = 8, 0.996, 0.999
+#: Evenly spread fingerprints in a bucket, about.
+BUCKET_ROWS = 12
+#: Sets of fewer shingles have their differing bits counted out, as they differ from the limit of large ones.
+SMALL_SET = 64
+_LANES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(WIDE_BITS // 64)], np.uint64)
 #: Shingles of a candidate group in one shard.
 SHARD_SHINGLES = 4_000_000
 
@@ -260,24 +269,159 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(join(s), 42) for s in zip(*(words[k:] for k in range(width)))], np.uint64))
 
 
-def keys_for(similarity: float, recall: float = KEY_RECALL) -> int:
-    """The number of keys by which a pair of that Jaccard similarity shares one with ``recall``."""
-    met = similarity**KEY_VALUES
-    return 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - met))
+def wide_fingerprint(shingles: np.ndarray) -> bytes:
+    """The SimHash of WIDE_BITS bits of a set of shingles; zeros for the empty set."""
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(shingles), 255):  # so many ones fit a byte
+        h = (shingles[at : at + 255, None] ^ _LANES) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).tobytes()
 
 
-def minhash_keys(shingles: np.ndarray, keys: int) -> list[int]:
-    """Hashes of ``keys`` groups of KEY_VALUES MinHash values each; two sets agree on a value with their similarity."""
-    rng = np.random.default_rng(8)
-    turns = rng.integers(0, 1 << 32, (keys * KEY_VALUES, 1), np.uint32) | np.uint32(1)
-    adds = rng.integers(0, 1 << 32, (keys * KEY_VALUES, 1), np.uint32)
-    values, low = np.full(keys * KEY_VALUES, 0xFFFFFFFF, np.uint32), shingles.astype(np.uint32)
-    for at in range(0, len(low), 2048):
-        mixed = turns * low[at : at + 2048]
-        mixed += adds
-        values = np.minimum(values, mixed.min(axis=1))
-    raw = values.reshape(keys, KEY_VALUES)
-    return [xxhash.xxh64_intdigest(raw[k].tobytes(), k) - (1 << 63) for k in range(keys)]
+def _differing(a: int, b: int, both: int) -> float:
+    """How likely a bit differs between sets of ``a`` and ``b`` shingles that have ``both`` in common."""
+
+    def ones(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def is_set(n: int) -> np.ndarray:
+        own, shared = np.arange(n - both + 1), np.arange(both + 1)[:, None]
+        return (2 * (shared + own) > n) @ ones(n - both)
+
+    x, y = is_set(a), is_set(b)
+    return float(ones(both) @ (x * (1 - y) + y * (1 - x)))
+
+
+def differing_shares(similarity: float) -> np.ndarray:
+    """By the number of shingles, the greatest share of bits in which a set and one of that similarity or more
+    differ on average; the last value is for SMALL_SET or more shingles.
+
+    Sums over many shingles are near normal, with a correlation of both / sqrt(a b), which is least for sets of
+    one size: arccos(2 s / (1 + s)) / pi of the bits differ. The sizes before the last are counted out.
+    """
+    shares = np.zeros(SMALL_SET + 1)
+    for a in range(1, SMALL_SET):
+        for b in range(a, math.floor(a / similarity + 1e-9) + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both <= a:
+                share, place = _differing(a, b, both), min(b, SMALL_SET)
+                shares[a], shares[place] = max(shares[a], share), max(shares[place], share)
+    large = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    shares[-1] = max(large, shares[SMALL_SET // 2 :].max())
+    return shares
+
+
+def keys_for(agreement: float, recall: float = KEY_RECALL, values: int = KEY_VALUES) -> int:
+    """The number of keys of so many bits, sampled from the same WIDE_BITS - TREE_BITS, of which a pair shares one
+    with ``recall``, if its bits agree with the probability ``agreement`` each."""
+    if agreement >= 1:
+        return 1
+    of = WIDE_BITS - TREE_BITS
+    k, logs = np.arange(of + 1), np.array([math.lgamma(n + 1) for n in range(of + 1)])
+    chance = np.exp(logs[-1] - logs - logs[::-1] + k * math.log(agreement) + (of - k) * math.log(1 - agreement))
+    missed, keys = 1 - (k / of) ** values, 1
+    while chance @ missed**keys > 1 - recall:
+        keys += 1
+    return keys
+
+
+def radius_for(share: float, recall: float = TREE_RECALL) -> int:
+    """The least radius that holds a pair with ``recall``, if its bits differ with the probability ``share`` each."""
+    within, radius = (1 - share) ** TREE_BITS, 0
+    while within < recall:
+        radius += 1
+        within += math.comb(TREE_BITS, radius) * share**radius * (1 - share) ** (TREE_BITS - radius)
+    return radius
+
+
+def similar_links(distinct: DataFrame, similarity: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``distinct(wide, n)`` -> ``(a, b)``, the first 64 bits of two fingerprints: links that connect what links
+    within the radius of the similarity connect, among fingerprints that share a key.
+
+    n is the number of shingles; small sets get more keys. Buckets beyond ``shard_rows`` are cut into
+    shards as in ``links``; they are told by a sample, which only decides how work is dealt out.
+    """
+    shares = differing_shares(similarity)
+    radius = radius_for(shares.max())
+    distinct = checkpointed(distinct)
+    bits = max(KEY_VALUES, round(math.log2(max(distinct.count(), 1) / BUCKET_ROWS)))
+    needed = {s: keys_for(1 - s, values=bits) for s in set(shares.tolist())}
+    tables = np.array([needed[s] for s in shares.tolist()])
+    rng = np.random.default_rng(bits)
+    places = np.stack([rng.choice(WIDE_BITS - TREE_BITS, bits, replace=False) for _ in range(tables.max())])
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+        sampled = np.unpackbits(raw[:, TREE_BITS // 8 :], axis=1)[:, places]
+        turn = np.arange(len(places))
+        made = sampled @ (1 << np.arange(bits, dtype=np.int64)) | turn << bits
+        own = turn < tables[np.minimum(batch.column("n").to_numpy(), SMALL_SET)][:, None]
+        fp = raw[:, : TREE_BITS // 8].copy().view(np.int64)[np.nonzero(own)[0]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (made[own], fp[:, 0], fp[:, 1])], ["key", "fp", "more"])
+
+    schema, part = "key long, fp long, more long", max(1, min(64, shard_rows // 64))
+    sample = per_batch(distinct.where(F.pmod(F.xxhash64("wide"), F.lit(part)) == 0), keys, schema)
+    large = checkpointed(
+        sample.groupBy("key").agg(F.ceil(F.count("*") * part / shard_rows).cast("int").alias("shards")).where("shards > 1")
+    )
+    dealt = per_batch(distinct, keys, schema)
+    if some := large.count():  # at least so many thousand rows of the table stand for each
+        dealt = (
+            dealt.join(F.broadcast(large) if some <= 100_000 else large, "key", "left")
+            .withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp", "more"), "shards").cast("int"), F.lit(0)))
+            .withColumn("shard", F.explode(F.sequence(F.lit(0), "own")))
+            .withColumn("shard", F.col("shard").cast("long"))
+            .withColumn("probe", (F.col("own") != F.col("shard")).cast("long"))
+        )
+    else:
+        dealt = dealt.withColumn("shard", F.lit(0).cast("long")).withColumn("probe", F.lit(0).cast("long"))
+    # One long holds shard, key and whether the row only searches, for short rows and a short sort.
+    at = F.shiftleft("shard", 40).bitwiseOR(F.shiftleft("key", 1)).bitwiseOR(F.col("probe")).alias("at")
+    grouped = dealt.select(at, "fp", "more").repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for at, fp, more in _buckets(batches):
+            tree = BKTree(radius)
+            for probe, high, low in zip((at & 1).tolist(), fp.view(np.uint64).tolist(), more.view(np.uint64).tolist()):
+                x = high << 64 | low
+                if x not in tree.children:  # sets that differ in keys only
+                    (tree.search if probe else tree.add)(x)
+            for x, root in tree.forest():
+                if x >> 64 != root >> 64:
+                    a.append(x >> 64)
+                    b.append(root >> 64)
+            if len(a) >= 50_000:
+                yield _pairs(a, b)
+                a, b = [], []
+        if a:
+            yield _pairs(a, b)
+
+    return grouped.mapInArrow(trees, "a long, b long")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[list[np.ndarray]]:
+    """The columns (at, fp, more) of every bucket with two rows or more, from rows in order of ``at``."""
+    held, waiting, enough = [], 0, rows
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append([batch.column(k).to_numpy() for k in range(3)])
+            waiting += batch.num_rows
+            if waiting < enough:
+                continue
+        if not held:
+            return
+        columns = [np.concatenate(c) for c in zip(*held)]
+        bucket = columns[0] >> 1
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        end = waiting if batch is None else starts[-1]  # the last bucket may go on
+        bounds = np.append(starts[starts < end], end)
+        for k in np.flatnonzero(np.diff(bounds) > 1):
+            yield [c[bounds[k] : bounds[k + 1]] for c in columns]
+        held, waiting = [[c[end:] for c in columns]], waiting - end
+        enough = rows + 2 * waiting
 
 
 class Confirmed:
@@ -332,18 +476,18 @@ class Confirmed:
 
 
 def confirmed_links(docs: DataFrame, made: DataFrame, width: int, similarity: float, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
-    """``made(doc_id, text_hash, fp, n, keys)`` of ``docs`` -> ``(a, b)`` of fp: links that connect what exact
-    comparison connects, among sets that shared keys connect.
+    """``made(doc_id, text_hash, fp, n, sim, wide)`` of ``docs`` -> ``(a, b)`` of fp: links that connect what exact
+    comparison connects, within the groups that the trees' links make.
 
     Of each set one text is sent to its candidate group. A group beyond ``shard_shingles`` is cut into
     shards as in ``links``.
     """
-    keyed = made.select("fp", F.explode("keys").alias("key")).distinct()
-    least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("m")).where("m > 1")
-    groups = connected_components(keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
-    chosen = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"), F.first("n").alias("n"))
-    members = checkpointed(chosen.join(groups.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "n", "row.*"))
-    shards = members.groupBy("root").agg(F.ceil((F.sum("n") + 1) / shard_shingles).cast("int").alias("shards"))
+    groups = connected_components(similar_links(made.select("wide", "n").distinct(), similarity))
+    chosen = made.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("sim").alias("sim"))
+    # Sets whose first 64 bits are equal are candidates, too.
+    root = F.coalesce("root", "sim").alias("root")
+    members = checkpointed(chosen.join(groups.withColumnRenamed("node", "sim"), "sim", "left").select("fp", root, "n", "row.*"))
+    shards = members.groupBy("root").agg(F.ceil((F.sum("n") + 1) / shard_shingles).cast("int").alias("shards"), F.count("*").alias("m")).where("m > 1")
     sent = (
         members.join(shards, "root")
         .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "shards").cast("int"))
@@ -379,21 +523,23 @@ def confirmed_links(docs: DataFrame, made: DataFrame, width: int, similarity: fl
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Like ``near_duplicates``, for texts whose sets of word shingles have the Jaccard similarity or more.
 
-    fp is the hash of the set. Every link is confirmed on the sets. A pair at the limit becomes a
-    candidate with KEY_RECALL at least, closer ones with more; a candidate at the limit is never lost.
+    fp is the hash of the set. Candidates are found by SimHashes and their BK-trees, every link is confirmed
+    on the sets. A pair at the limit becomes a candidate with KEY_RECALL times TREE_RECALL at least, closer ones
+    with more; a candidate at the limit is never lost.
     """
-    keys = keys_for(similarity)
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+        wide = [wide_fingerprint(s) for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), batch.column("text_hash"),
                 pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([minhash_keys(s, keys) for s in sets], pa.list_(pa.int64())),
+                pa.array(np.frombuffer(b"".join(w[:8] for w in wide), np.int64)),
+                pa.array(wide, pa.binary()),
             ],
-            ["doc_id", "text_hash", "fp", "n", "keys"],
+            ["doc_id", "text_hash", "fp", "n", "sim", "wide"],
         )
 
     rows = docs.select(
@@ -401,8 +547,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.col("text").cast("string").alias("text"),
     )
-    made = checkpointed(per_batch(rows, over, "doc_id long, text_hash long, fp long, n long, keys array<long>"))
-    return _components(made.drop("n", "keys"), confirmed_links(docs, made, width, similarity))
+    made = checkpointed(per_batch(rows, over, "doc_id long, text_hash long, fp long, n long, sim long, wide binary"))
+    return _components(made.drop("n", "sim", "wide"), confirmed_links(docs, made, width, similarity))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -165,6 +165,37 @@ def test_near_copies_at_the_limit(spark, monkeypatch, shard):
     assert recall >= 0.99 and false == 0
 
 
+@pytest.mark.parametrize("shard_rows", [6, simhash.SHARD_ROWS])
+def test_near_copies_are_found_by_trees_of_simhashes(spark, monkeypatch, shard_rows):
+    texts, pairs = around_the_limit()
+    sets = [simhash.shingle_set(t) for t in texts]
+    wide = [simhash.wide_fingerprint(s) for s in sets]
+    name = [int(x) for x in np.frombuffer(b"".join(w[:8] for w in wide), np.int64)]
+    df = spark.createDataFrame([(bytearray(w), len(s)) for w, s in zip(wide, sets)], "wide binary, n bigint")
+    found = {(r.a, r.b) for r in simhash.similar_links(df, 0.8, shard_rows).collect()}
+    part = brute_components(name, found)
+    radius = simhash.radius_for(simhash.differing_shares(0.8).max())
+    bits = np.unpackbits(np.frombuffer(b"".join(w[:16] for w in wide), np.uint8).reshape(-1, 16), axis=1).astype(np.int32)
+    apart = bits.sum(1)[:, None] + bits.sum(1) - 2 * bits @ bits.T
+    within = brute_components(name, [(name[a], name[b]) for a, b in np.argwhere(apart <= radius).tolist()])
+    assert all(within[a] == within[b] for a, b in found)
+    above = [(a, b) for a, b in pairs if brute_jaccard(texts[a], texts[b]) >= 0.8]
+    assert sum(part[name[a]] == part[name[b]] for a, b in above) >= 0.99 * len(above)
+    # Nothing beside the trees finds a near copy.
+    monkeypatch.setattr(simhash, "similar_links", lambda distinct, similarity: spark.createDataFrame([], "a bigint, b bigint"))
+    docs = spark.createDataFrame(list(enumerate(texts[:8])) + [(8, texts[0])], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()) == [*((i, i) for i in range(8)), (8, 0)]
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 300, 511):
+        sets, ones = rng.integers(0, 1 << 63, n, np.uint64), np.zeros(simhash.WIDE_BITS, int)
+        for s in sets:  # the fingerprint of one shingle is its own bits
+            ones += np.unpackbits(np.frombuffer(simhash.wide_fingerprint(np.array([s])), np.uint8))
+        assert simhash.wide_fingerprint(sets) == np.packbits(2 * ones > n).tobytes()
+
+
 def test_confirmed_links_equal_brute_force():
     rng = random.Random(9)
     words = [f"w{i}" for i in range(40)]
