@@ -19,8 +19,9 @@ Every pair of fingerprints that differ in at most ``radius`` bits is linked, exa
 a similarity of 0.8 two fingerprints differ in some 15 % of their bits, and no exact cutting into blocks
 reaches so far. So fingerprints of WIDE_BITS bits over distinct shingles are dealt out by samples of
 their bits, as many as a pair at the limit needs to meet with the wanted recall; BK-trees over TREE_BITS other
-bits search each bucket, and star contraction makes candidate groups of their links. Inside a group the
-sets of shingles are compared exactly: no link stands on an estimate.
+bits search each bucket, and star contraction makes candidate groups of their links. A group of copies meets
+again under nearly every key, so a few keys come first, and the trees of all others link only what these have
+left apart. Inside a group the sets of shingles are compared exactly: no link stands on an estimate.
 """
 
 from __future__ import annotations
@@ -251,6 +252,8 @@ WIDE_BITS, TREE_BITS = 1024, 128
 KEY_VALUES, KEY_RECALL, TREE_RECALL = 8, 0.996, 0.999
 #: Evenly spread fingerprints in a bucket, about.
 BUCKET_ROWS = 12
+#: Keys that are searched before the others.
+FIRST_KEYS = 4
 #: Sets of fewer shingles have their differing bits counted out, as they differ from the limit of large ones.
 SMALL_SET = 64
 _LANES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(WIDE_BITS // 64)], np.uint64)
@@ -342,72 +345,106 @@ def similar_links(distinct: DataFrame, similarity: float, shard_rows: int = SHAR
 
     n is the number of shingles; small sets get more keys. Buckets beyond ``shard_rows`` are cut into
     shards as in ``links``; they are told by a sample, which only decides how work is dealt out.
+
+    The first FIRST_KEYS keys give each fingerprint as many links at most (where a bucket has shards, one in
+    each). Under the others it goes by the group that these links put it in: the trees link groups, and none to
+    itself.
     """
     shares = differing_shares(similarity)
     radius = radius_for(shares.max())
-    distinct = checkpointed(distinct)
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wide = batch.column("wide").to_pylist()
+        name = pa.array(np.frombuffer(b"".join(w[:8] for w in wide), np.int64))
+        return pa.RecordBatch.from_arrays([name, *(batch.column(k) for k in ("wide", "n"))], ["name", "wide", "n"])
+
+    distinct = checkpointed(per_batch(distinct.select("wide", F.col("n").cast("long")), named, "name long, wide binary, n long"))
     bits = max(KEY_VALUES, round(math.log2(max(distinct.count(), 1) / BUCKET_ROWS)))
     needed = {s: keys_for(1 - s, values=bits) for s in set(shares.tolist())}
     tables = np.array([needed[s] for s in shares.tolist()])
     rng = np.random.default_rng(bits)
     places = np.stack([rng.choice(WIDE_BITS - TREE_BITS, bits, replace=False) for _ in range(tables.max())])
 
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
-        sampled = np.unpackbits(raw[:, TREE_BITS // 8 :], axis=1)[:, places]
-        turn = np.arange(len(places))
-        made = sampled @ (1 << np.arange(bits, dtype=np.int64)) | turn << bits
-        own = turn < tables[np.minimum(batch.column("n").to_numpy(), SMALL_SET)][:, None]
-        fp = raw[:, : TREE_BITS // 8].copy().view(np.int64)[np.nonzero(own)[0]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (made[own], fp[:, 0], fp[:, 1])], ["key", "fp", "more"])
-
-    schema, part = "key long, fp long, more long", max(1, min(64, shard_rows // 64))
-    sample = per_batch(distinct.where(F.pmod(F.xxhash64("wide"), F.lit(part)) == 0), keys, schema)
+    def dealt_by(rows: DataFrame, turn: np.ndarray) -> DataFrame:
+        """``(key, fp, more)`` and the group, if there is one, for the keys in ``turn``."""
+        grouped = "group" in rows.columns
+
+        def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+            sampled = np.unpackbits(raw[:, TREE_BITS // 8 :], axis=1)[:, places[turn]]
+            made = sampled @ (1 << np.arange(bits, dtype=np.int64)) | turn << bits
+            own = turn < tables[np.minimum(batch.column("n").to_numpy(), SMALL_SET)][:, None]
+            row = np.nonzero(own)[0]
+            fp = raw[:, : TREE_BITS // 8].copy().view(np.int64)[row]
+            out = {"key": made[own], "fp": fp[:, 0], "more": fp[:, 1]}
+            if grouped:
+                out["group"] = batch.column("group").to_numpy()[row]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], list(out))
+
+        return per_batch(rows, keys, "key long, fp long, more long" + ", group long" * grouped)
+
+    turns, part = np.arange(len(places)), max(1, min(64, shard_rows // 64))
+    sample = dealt_by(distinct.where(F.pmod(F.xxhash64("wide"), F.lit(part)) == 0), turns)
     large = checkpointed(
         sample.groupBy("key").agg(F.ceil(F.count("*") * part / shard_rows).cast("int").alias("shards")).where("shards > 1")
     )
-    dealt = per_batch(distinct, keys, schema)
-    if some := large.count():  # at least so many thousand rows of the table stand for each
-        dealt = (
-            dealt.join(F.broadcast(large) if some <= 100_000 else large, "key", "left")
-            .withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp", "more"), "shards").cast("int"), F.lit(0)))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), "own")))
-            .withColumn("shard", F.col("shard").cast("long"))
-            .withColumn("probe", (F.col("own") != F.col("shard")).cast("long"))
-        )
-    else:
-        dealt = dealt.withColumn("shard", F.lit(0).cast("long")).withColumn("probe", F.lit(0).cast("long"))
-    # One long holds shard, key and whether the row only searches, for short rows and a short sort.
-    at = F.shiftleft("shard", 40).bitwiseOR(F.shiftleft("key", 1)).bitwiseOR(F.col("probe")).alias("at")
-    grouped = dealt.select(at, "fp", "more").repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
+    some = large.count()  # at least so many thousand rows of the table stand for each
+
+    def linked(rows: DataFrame, turn: np.ndarray) -> DataFrame:
+        dealt = dealt_by(rows, turn)
+        if some:
+            dealt = (
+                dealt.join(F.broadcast(large) if some <= 100_000 else large, "key", "left")
+                .withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp", "more"), "shards").cast("int"), F.lit(0)))
+                .withColumn("shard", F.explode(F.sequence(F.lit(0), "own")))
+                .withColumn("shard", F.col("shard").cast("long"))
+                .withColumn("probe", (F.col("own") != F.col("shard")).cast("long"))
+            )
+        else:
+            dealt = dealt.withColumn("shard", F.lit(0).cast("long")).withColumn("probe", F.lit(0).cast("long"))
+        # One long holds shard, key and whether the row only searches, for short rows and a short sort.
+        at = F.shiftleft("shard", 40).bitwiseOR(F.shiftleft("key", 1)).bitwiseOR(F.col("probe")).alias("at")
+        group = ["group"] if "group" in rows.columns else []
+        grouped = dealt.select(at, "fp", "more", *group).repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
+        return grouped.mapInArrow(trees, "a long, b long")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for at, fp, more in _buckets(batches):
+        for at, fp, more, *known in _buckets(batches):
+            group = known[0] if known else fp
+            if (group == group[0]).all():
+                continue
             tree = BKTree(radius)
-            for probe, high, low in zip((at & 1).tolist(), fp.view(np.uint64).tolist(), more.view(np.uint64).tolist()):
+            for probe, high, low, g in zip((at & 1).tolist(), *(c.view(np.uint64).tolist() for c in (fp, more, group))):
                 x = high << 64 | low
-                if x not in tree.children:  # sets that differ in keys only
+                if x not in tree.parent:  # else sets that differ in keys only
+                    # The union-find starts with the group; its name is negative there, as no fingerprint is.
+                    tree.parent[x] = tree.parent.setdefault(~g, ~g)
                     (tree.search if probe else tree.add)(x)
             for x, root in tree.forest():
-                if x >> 64 != root >> 64:
-                    a.append(x >> 64)
-                    b.append(root >> 64)
+                if x < 0:
+                    a.append(~x)
+                    b.append(~root)
             if len(a) >= 50_000:
                 yield _pairs(a, b)
                 a, b = [], []
         if a:
             yield _pairs(a, b)
 
-    return grouped.mapInArrow(trees, "a long, b long")
+    if len(turns) <= FIRST_KEYS:
+        return linked(distinct, turns)
+    groups = connected_components(linked(distinct, turns[:FIRST_KEYS]))
+    rows = distinct.join(groups.withColumnRenamed("node", "name"), "name", "left").select("wide", "n", F.coalesce("root", "name").alias("group"))
+    return groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(rows, turns[FIRST_KEYS:]))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[list[np.ndarray]]:
-    """The columns (at, fp, more) of every bucket with two rows or more, from rows in order of ``at``."""
+    """The columns (at, fp, more, and what else there is) of every bucket with two rows or more, from rows in order
+    of ``at``."""
     held, waiting, enough = [], 0, rows
     for batch in chain(batches, [None]):
         if batch is not None:
-            held.append([batch.column(k).to_numpy() for k in range(3)])
+            held.append([c.to_numpy() for c in batch.columns])
             waiting += batch.num_rows
             if waiting < enough:
                 continue

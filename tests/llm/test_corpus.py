@@ -187,6 +187,40 @@ def test_near_copies_are_found_by_trees_of_simhashes(spark, monkeypatch, shard_r
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()) == [*((i, i) for i in range(8)), (8, 0)]
 
 
+@pytest.mark.parametrize("shard_rows", [50, simhash.SHARD_ROWS])
+def test_links_of_near_copies_do_not_grow_with_the_keys(spark, monkeypatch, shard_rows):
+    """One group of 300 near copies, and pairs at the limit, which the first keys mostly miss."""
+    rng, (texts, _) = random.Random(8), around_the_limit()
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    sets = [simhash.shingle_set(t) for t in texts[:400]]
+    for _ in range(300):
+        t = list(base)
+        for _ in range(4):
+            t[rng.randrange(300)] = f"u{rng.randrange(10**6)}"
+        sets.append(simhash.shingle_set(" ".join(t)))
+    wide = [simhash.wide_fingerprint(s) for s in sets]
+    name = [int(x) for x in np.frombuffer(b"".join(w[:8] for w in wide), np.int64)]
+    df = spark.createDataFrame([(bytearray(w), len(s)) for w, s in zip(wide, sets)], "wide binary, n bigint").repartition(4)
+    asked, real = [], connected_components
+
+    def counted(links):
+        asked.append(links.distinct().count())
+        return real(links)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    found = {(r.a, r.b) for r in simhash.similar_links(df, 0.8, shard_rows).collect() if r.a != r.b}
+    few = {(a, b) for a, b in found if {a, b} & set(name[400:])}
+    print(f"links {len(found)}, of the group {len(few)}, of the first keys {asked}")
+    assert 299 <= len(few) <= 2 * 300
+    monkeypatch.setattr(simhash, "FIRST_KEYS", 10**6)  # all keys at once
+    alone = {(r.a, r.b) for r in simhash.similar_links(df, 0.8, shard_rows).collect()}
+    assert len({(a, b) for a, b in alone if {a, b} & set(name[400:])}) > 4 * 300
+    part = brute_components(name, found)
+    assert part == brute_components(name, alone)
+    assert len({part[x] for x in name[400:]}) == 1 and len({part[x] for x in name[:400]}) < 300
+    assert asked and asked[0] <= 4 * len(name)
+
+
 def test_wide_fingerprints_are_majorities():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 300, 511):
