@@ -302,3 +302,36 @@ def test_matched_sample_equals_the_walk_by_hand(spark):
         want.append((place, rows[hit][1]))
     assert sorted((r.place, r.parent_asin) for r in ST.sample_matched(pool, reference, 40).collect()) == want
     assert ST.sample_matched(pool.limit(0), reference, 5).count() == 0 and ST.sample_matched(pool.limit(3), reference, 5).count() == 3
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_are_dealt_out_by_key(spark, small, monkeypatch):
+    from parlance.plans import catalog
+    from parlance.sources import adapters as A
+
+    monkeypatch.setattr(A, "PRODUCTS", 15)
+    p = A.products(spark, small)
+    sizes = [r["count"] for r in p.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 45 and sum(sizes) == A.table(spark, small, "part").count()
+    assert "hashpartitioning(doc" not in _plan(catalog.weighted_postings(spark, small))  # counted where the products lie
+
+
+def test_passages_are_scored_where_documents_lie(spark, small):
+    from parlance.plans import ranking
+
+    plan = _plan(ranking.bm25_topk(spark, small))
+    assert "hashpartitioning(doc" in plan and "hashpartitioning(query#" in plan
+    assert not any("hashpartitioning(" in line and "token#" in line and "doc#" in line for line in plan.splitlines())
+
+
+def test_no_needle_meets_all_words(spark):
+    from parlance.operators import lexical as L
+
+    texts = spark.createDataFrame([(1, "a wool: coat"), (2, "woollen coats")], "doc int, text string")
+    needles = spark.createDataFrame([("l: c",), ("en co",), ("oo",), ("absent",)], "needle string")
+    found = L.containing(needles, texts)
+    assert sorted(map(tuple, found.collect())) == [("en co", 2), ("l: c", 1), ("oo", 1), ("oo", 2)]
+    assert "NestedLoop" not in _plan(found) and "Cartesian" not in _plan(found)
