@@ -335,3 +335,55 @@ def test_no_needle_meets_all_words(spark):
     found = L.containing(needles, texts)
     assert sorted(map(tuple, found.collect())) == [("en co", 2), ("l: c", 1), ("oo", 1), ("oo", 2)]
     assert "NestedLoop" not in _plan(found) and "Cartesian" not in _plan(found)
+
+
+def _pools(spark, small):
+    from parlance.plans import ranking
+
+    sessions, index = ranking._sessions(spark, small), ranking._indexed(spark, small)
+    rows = sessions.select("query", "category", "target", "preference_tags", R.typed(F.col("texts")).alias("constraints")).join(index, "category")
+    return sessions, index.withColumn("lexical", F.lit(0.5)), rows.withColumn("lexical", F.lit(0.5))
+
+
+@pytest.mark.parametrize("products, states", [(16_384, 8_192), (2, 1)])
+def test_blocks_score_as_the_rows_do(spark, small, monkeypatch, products, states):
+    """Also when a category is cut into several blocks both ways."""
+    from parlance.operators import lexical as L
+    from parlance.operators import pools as PL
+
+    monkeypatch.setattr(PL, "PRODUCTS", products)
+    monkeypatch.setattr(PL, "STATES", states)
+    sessions, index, rows = _pools(spark, small)
+    got = L.top_k(PL.top(PL.products(index, lexical=F.col("lexical")), PL.states(sessions, F.col("query")), 3), 3)
+    pick = lambda df: sorted((r.query, r["rank"], r.doc, r.score) for r in df.collect())
+    assert pick(got) == pick(R.ranked(rows, 3))
+    met = PL.every(PL.products(index), PL.states(sessions, F.col("query")), "met")
+    want = rows.select("query", "parent_asin", F.round(R.constraint_score(F.col("constraints")), 6).alias("met"))
+    assert sorted((r.query, r.doc, round(r.met, 6)) for r in met.collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_places_of_targets_in_blocks(spark, small, monkeypatch):
+    from parlance.operators import pools as PL
+
+    monkeypatch.setattr(PL, "PRODUCTS", 2)
+    sessions, index, rows = _pools(spark, small)
+    scored = rows.select("query", F.col("parent_asin").alias("doc"), "target", F.round(R.blend(), 6).alias("score"))
+    pool = PL.products(index, lexical=F.col("lexical"))
+    own = sessions.join(PL.own(pool, PL.states(sessions, F.struct("query", "target"))), "query")
+    got = PL.standing(pool, PL.states(own, F.struct("query", "target", "own", "goal"))).collect()
+    want = {r.query: (r.pool_size, r.strictly_above, r.tied) for r in S.rank_diagnosis(scored).collect()}
+    assert {r.query: (r["size"], r.above, r.tied - 1) for r in got} == want
+
+
+def test_without_constraints_tags_count(spark, small):
+    """Texts that many sessions share are one state; a state without constraints keeps its tags."""
+    from parlance.operators import lexical as L
+    from parlance.operators import pools as PL
+
+    sessions, index, rows = _pools(spark, small)
+    cold = sessions.withColumn("texts", F.array().cast("array<string>"))
+    assert PL.states(cold, F.col("query")).count() < sessions.count()
+    rows = rows.withColumn("constraints", F.filter("constraints", lambda c: F.lit(False)))
+    got = L.top_k(PL.top(PL.products(index, lexical=F.col("lexical")), PL.states(cold, F.col("query")), 3), 3)
+    pick = lambda df: sorted((r.query, r["rank"], r.doc, r.score) for r in df.collect())
+    assert pick(got) == pick(R.ranked(rows, 3))
