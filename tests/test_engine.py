@@ -387,3 +387,22 @@ def test_without_constraints_tags_count(spark, small):
     got = L.top_k(PL.top(PL.products(index, lexical=F.col("lexical")), PL.states(cold, F.col("query")), 3), 3)
     pick = lambda df: sorted((r.query, r["rank"], r.doc, r.score) for r in df.collect())
     assert pick(got) == pick(R.ranked(rows, 3))
+
+
+def test_simulation_in_many_blocks_leaves_no_turns_behind(spark, small, monkeypatch):
+    from pathlib import Path
+
+    from parlance.config import Config
+    from parlance.operators import evaluate as E
+    from parlance.operators import pools as PL
+    from parlance.plans import evaluation, ranking
+    from parlance.sources.shared import shared_dir
+
+    base = evaluation._base(spark, small)
+    sessions = ranking._sessions(spark, small).where("query IN ('S1','S2','S4','S7','S11','S13')")
+    run = lambda: sorted(map(str, E.simulate(sessions, base, Config(min_candidates=1)).collect()))
+    want, folder = run(), Path(shared_dir(spark).removeprefix("file:"))
+    before = len(list(folder.glob("rows-*")))
+    monkeypatch.setattr(PL, "PRODUCTS", 1)
+    assert run() == want
+    assert len(list(folder.glob("rows-*"))) - before <= E.MAX_TURNS  # the sessions that ended in each turn
