@@ -30,7 +30,7 @@ def parsed(messages: DataFrame, lookup: DataFrame) -> DataFrame:
     )
     later = rows.where("turn > 1").select("id", "message", D.parse_reply("message").alias("r"))
     named = D.scan_category(later.select("id", "message"), lookup)
-    replied = later.join(named, "id", "left").select(
+    replied = later.join(named.hint("merge"), "id", "left").select(
         "id.*", "r.kind", F.col("name").alias("category"), "r.attribute", "r.constraints", F.lit(None).cast("string").alias("scenario"), "r.exact"
     )
     return opened.unionByName(replied)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.functions import vocabulary as V
 from parlance.operators import state as ST
+from parlance.sources.shared import broadcast_if_few
 
 OUTPUT = "session_id bigint, turn int, kind string, category string, constraints string, exhausted string, revision int"
 #: The acts of a session in order of turn: what the fold reads of each.
@@ -90,7 +91,7 @@ def replay(messages: DataFrame, lookup: DataFrame, folder: str, files: int = 4)
     Two queries: the first parses each micro-batch of messages by the batch plans (openings, replies, the scan for
     categories), the second folds the acts. Files hold turns in no order; ``fold`` sorts that out.
     """
-    spark = messages.sparkSession
+    spark, lookup = messages.sparkSession, broadcast_if_few(lookup)  # names are found once, not in every batch
     messages.repartition(files, "turn").write.mode("overwrite").parquet(f"{folder}/in")
 
     def parse(batch: DataFrame, number: int) -> None:

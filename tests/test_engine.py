@@ -406,3 +406,31 @@ def test_simulation_in_many_blocks_leaves_no_turns_behind(spark, small, monkeypa
     monkeypatch.setattr(PL, "PRODUCTS", 1)
     assert run() == want
     assert len(list(folder.glob("rows-*"))) - before <= E.MAX_TURNS  # the sessions that ended in each turn
+
+
+def test_cosines_of_blocks_equal_those_of_pairs(spark, monkeypatch):
+    import random
+
+    from parlance.operators import dense as DN
+
+    rng = random.Random(5)
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0]), (62, [0.5, None, 0.5]), (63, [float("nan"), 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "doc bigint, v array<float>")
+    asked = docs.where("doc % 7 = 4").select(F.col("doc").alias("query"), F.col("v").alias("q"))
+    pairs = docs.join(asked, F.col("doc") != F.col("query")).select("query", "doc", F.round(DN.dot(F.col("q"), F.col("v")), 5).alias("cosine"))
+    order = DN.Window.partitionBy("query").orderBy(F.desc("cosine"), "doc")
+    pick = lambda df: sorted((r.query, r["rank"], r.doc, str(r.cosine)) for r in df.collect())
+    want = pick(pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 10"))
+    monkeypatch.setattr(DN, "DOCS", 16)
+    monkeypatch.setattr(DN, "QUERIES", 3)
+    assert pick(DN.cosine_topk(asked, docs)) == want
+
+
+def test_no_table_of_messages_is_broadcast(spark, small):
+    from parlance.plans import conversation
+    from parlance.sources import adapters as A
+    from parlance.sources.shared import broadcast_if_few
+
+    acts = ST.parsed(A.messages(spark, small), broadcast_if_few(conversation._lookup(spark, small)))
+    assert "BroadcastHashJoin [norm_name" in _plan(acts)
+    assert not any("BroadcastHashJoin" in line and "norm_name" not in line for line in _plan(acts).splitlines())
