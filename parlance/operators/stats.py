@@ -38,6 +38,13 @@ def resamples(spark: SparkSession, n: int, rounds: int, seed: int) -> DataFrame:
     return pairs.select("round", T.draw(seed, "round", "k", modulus=n).alias("i"))
 
 
+def _drawn(rows: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """``rows(i, ...)`` as often as they are drawn, with ``round``. A draw travels as one number, its place and round."""
+    made = resamples(rows.sparkSession, rows.count(), rounds, seed).select((F.col("i") * rounds + F.col("round")).alias("_draw"))
+    met = made.join(rows, F.expr(f"_draw div {rounds}") == F.col("i"))
+    return met.withColumn("round", F.col("_draw") % rounds)
+
+
 def _interval(values: DataFrame, column: str, rounds: int) -> DataFrame:
     """Mean, population deviation, and the values at places int(0.025 B) and int(0.975 B) of ``rounds`` values."""
     ordered = values.agg(  # one number a round
@@ -50,8 +57,7 @@ def _interval(values: DataFrame, column: str, rounds: int) -> DataFrame:
 def bootstrap(results: DataFrame, rounds: int = 100, seed: int = 1) -> DataFrame:
     """Intervals of the composite over seeded resamples of the sessions. One row."""
     rows = numbered(results.select("sample_id", "hit", "reciprocal_rank", "first_hit_turn"), "sample_id")
-    draws = resamples(results.sparkSession, rows.count(), rounds, seed)
-    scores = draws.join(rows, "i").groupBy("round").agg(
+    scores = _drawn(rows, rounds, seed).groupBy("round").agg(
         F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("reciprocal_rank").alias("mrr"),
         F.avg(F.coalesce("first_hit_turn", F.lit(M.MISS_TURN)).cast("double")).alias("mttc"),
     )
@@ -82,8 +88,7 @@ def improved_regressed(deltas: DataFrame, eps: float = 1e-9) -> DataFrame:
 def paired_interval(deltas: DataFrame, rounds: int = 100, seed: int = 2) -> DataFrame:
     """Interval of the mean paired difference; significant if it excludes 0."""
     rows = numbered(deltas, "sample_id")
-    draws = resamples(deltas.sparkSession, rows.count(), rounds, seed)
-    means = draws.join(rows, "i").groupBy("round").agg(F.avg("delta").alias("d"))
+    means = _drawn(rows, rounds, seed).groupBy("round").agg(F.avg("delta").alias("d"))
     out = _interval(means, "d", rounds)
     return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 

@@ -434,3 +434,10 @@ def test_no_table_of_messages_is_broadcast(spark, small):
     acts = ST.parsed(A.messages(spark, small), broadcast_if_few(conversation._lookup(spark, small)))
     assert "BroadcastHashJoin [norm_name" in _plan(acts)
     assert not any("BroadcastHashJoin" in line and "norm_name" not in line for line in _plan(acts).splitlines())
+
+
+def test_a_draw_travels_as_one_number(spark):
+    rows = spark.range(50).select(F.col("id").alias("i"), (F.col("id") * 2).alias("delta"))
+    got = sorted((r["round"], r.i) for r in S._drawn(rows, 7, 2).collect())
+    assert got == sorted((r["round"], r.i) for r in S.resamples(spark, 50, 7, 2).collect())
+    assert all(r.delta == 2 * r.i for r in S._drawn(rows, 7, 2).collect())
